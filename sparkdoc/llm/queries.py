@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, licenses, mixing, sharding, topk, toxicity, urls
+from . import bpe, fingerprint, licenses, mixing, ngram_join, sharding, suffix_dedup, topk, toxicity, urls
 
 RULES = [
     urls.Rule("allow", "com", "/"),
@@ -30,6 +30,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), ngram_join.Jaccard(4, 85))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
 
@@ -45,6 +49,10 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.likeness(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
 
@@ -63,9 +71,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
+    "op3_ngram_join": op3_ngram_join,
     "op4_topk": op4_topk,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprint": op6_fingerprint,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,

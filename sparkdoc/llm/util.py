@@ -97,8 +97,81 @@ def label_components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("u", "v", "m")
         edges = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit(2**40 - 1))), F.lit(0))).first()
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def gather(df: DataFrame, size: int, dtype: str, add, combine: str = "add", pieces: int = 64) -> np.ndarray:
+    """One array of `size` numbers (a fixed bound, whatever the input) summed ("add") or united ("or") over all rows.
+
+    add(array, batch) enters an Arrow batch into a task's own array. Tasks send compressed pieces, each piece is combined
+    in one place, and the driver gets the finished array.
+    """
+    import zlib
+    from collections.abc import Iterator
+
+    step = -(-size // pieces)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = None
+        for batch in batches:
+            mine = np.zeros(size, dtype) if mine is None else mine
+            add(mine, batch)
+        if mine is not None:
+            yield from packed(enumerate(mine[k * step : (k + 1) * step] for k in range(pieces)))
+
+    def packed(parts) -> Iterator[pa.RecordBatch]:
+        for k, part in parts:
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "b"])
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(b), dtype)
+                if k not in held:
+                    held[k] = part.copy()
+                elif combine == "add":
+                    held[k] += part
+                else:
+                    held[k] |= part
+        yield from packed(sorted(held.items()))
+
+    out = np.zeros(size, dtype)
+    for r in df.mapInArrow(partial, "k int, b binary").repartition("k").mapInArrow(united, "k int, b binary").collect():
+        part = np.frombuffer(zlib.decompress(r["b"]), dtype)
+        out[r["k"] * step : r["k"] * step + len(part)] = part
+    return out
+
+
+class Bits:
+    """A Bloom filter of bounded size over 64-bit keys: `holds` may say yes too often, never no wrongly."""
+
+    def __init__(self, expected: int, most_bits: int = 27, probes: int = 2):
+        self.bits = min(most_bits, max(13, int(max(expected, 1) * 12).bit_length()))
+        self.probes, self.array = probes, np.zeros(1 << (self.bits - 3), np.uint8)
+
+    def _at(self, keys: np.ndarray) -> list[np.ndarray]:
+        keys = keys.astype(np.int64).view(np.uint64)
+        return [mix64(keys ^ np.uint64(k + 1)) >> np.uint64(64 - self.bits) for k in range(self.probes)]
+
+    def enter(self, array: np.ndarray, keys: np.ndarray) -> None:
+        for at in self._at(keys):
+            np.bitwise_or.at(array, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        yes = np.ones(len(keys), bool)
+        for at in self._at(keys):
+            yes &= (self.array[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return yes
+
+    def fill(self, keys: DataFrame) -> Bits:
+        """Enter a one-column table of keys (distributed; the driver gets the bounded array only)."""
+        empty = Bits.__new__(Bits)
+        empty.bits, empty.probes, empty.array = self.bits, self.probes, np.zeros(0, np.uint8)
+        self.array = gather(keys, len(self.array), "uint8", lambda array, batch: empty.enter(array, long_of(batch.column(0))), "or")
+        return self
