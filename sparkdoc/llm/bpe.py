@@ -188,55 +188,50 @@ def encoder(ranks, pattern: str):
     return encode, state
 
 
-def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, ids (array<int>), decoded (binary, from the ids), ids_sha256 (ids as little-endian unsigned
-    32-bit integers) and decoded_sha256 of every whole text.
-
-    A null text counts as empty and has no ids; characters no piece matches cannot occur with a pattern that covers all
-    text. Columns of df other than `keep` and the text are not read, so clashing names do no harm. Repeated rows are
-    encoded alike. No shuffle: a task's memory is bounded by one Arrow batch and REMEMBERED pieces. The rank table
-    (fixed size) is broadcast.
+_OUTPUTS = {
+    "n_tokens": ("long", pa.int64()),
+    "ids": ("array<int>", pa.list_(pa.int32())),
+    "ids_sha256": ("string", pa.string()),
+    "decoded": ("binary", pa.binary()),
+    "decoded_sha256": ("string", pa.string()),
+}
+
+
+def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = tuple(_OUTPUTS)) -> DataFrame:
+    """The columns `keep`, then of every whole text those of n_tokens, ids, ids_sha256 (of the ids as little-endian
+    unsigned 32-bit integers), decoded (the bytes that the ids stand for) and decoded_sha256 that `outputs` names.
+
+    A null text counts as empty and has no ids. Columns of df other than `keep` and the text are not read, so clashing
+    names do no harm. Repeated rows are encoded alike. No shuffle: a task's memory is bounded by one Arrow batch, one
+    text and REMEMBERED pieces. The rank table (of fixed size) is broadcast.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
-    schema = df.select(*[F.col(f"`{c}`") for c in keep]).schema
-    kept = range(len(keep))
-    fields = [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, state = encoder(shared, pattern)
-        for batch in batches:
-            texts = pc.fill_null(batch.column(len(kept)), "").to_pylist()
-            for lo, hi in _parts(texts):
-                out = encode(texts[lo:hi])
-                decoded = [state["replay"].decode(ids) for ids in out]
-                lengths = np.fromiter(map(len, out), np.int64, len(out))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
-                columns = [pa.array(lengths), lists, pa.array(decoded, pa.binary()), pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in out]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(kept))), *columns], names=[f"k{k}" for k in range(len(kept))] + [n for n, _ in fields])
-
-    ddl = ", ".join(f"k{k} {f.dataType.simpleString()}" for k, f in enumerate(schema.fields))
-    rows = df.select(*[F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("__text"))
-    made = rows.mapInArrow(run, f"{ddl}, n_tokens long, ids array<int>, decoded binary, ids_sha256 string, decoded_sha256 string")
-    return made.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)], *[n for n, _ in fields])
-
-
-def encode_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """As encode_documents, without ids and bytes: what a check needs."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, state = encoder(shared, pattern)
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "").to_pylist()
+            texts = pc.fill_null(batch.column(len(keep)), "").to_pylist()
             for lo, hi in _parts(texts):
                 out = encode(texts[lo:hi])
-                decoded = [hashlib.sha256(state["replay"].decode(ids)).hexdigest() for ids in out]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(i) for i in out], pa.int64()), pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in out]), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                made: dict[str, pa.Array] = {}
+                if "n_tokens" in outputs:
+                    made["n_tokens"] = pa.array([len(i) for i in out], pa.int64())
+                if "ids" in outputs:
+                    offsets = np.concatenate(([0], np.cumsum([len(i) for i in out]))).astype(np.int32)
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out), pa.int32()))
+                if "ids_sha256" in outputs:
+                    made["ids_sha256"] = pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in out])
+                if "decoded" in outputs or "decoded_sha256" in outputs:
+                    decoded = list(map(state["replay"].decode, out))
+                    made["decoded"] = pa.array(decoded, pa.binary())
+                    made["decoded_sha256"] = pa.array([hashlib.sha256(d).hexdigest() for d in decoded])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(keep))), *(made[n] for n in outputs)], names=[*names, *outputs])
+
+    names = [f"k{k}" for k in range(len(keep))]
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").cast("string").alias("__text"))
+    ddl = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rows.schema.fields, strict=False)]
+    made = rows.mapInArrow(run, ", ".join([*ddl, *(f"{n} {_OUTPUTS[n][0]}" for n in outputs)]))
+    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)
 
 
 def _parts(texts: list[str], most: int = 24_000_000) -> Iterator[tuple[int, int]]:

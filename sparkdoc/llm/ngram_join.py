@@ -281,3 +281,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two arrays without repetitions."""
     both = np.sort(np.concatenate((a, b)))
     return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def drop_near_copies(documents: DataFrame, how: Jaccard = Jaccard(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """documents, whole rows and all columns, with one document of each component: the smallest id."""
+    from .util import sift
+
+    groups = join_components(documents, how, id_column, text)
+    gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    return sift(documents, gone, id_column, inside=False)

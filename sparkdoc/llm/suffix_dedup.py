@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Bits, chunks, cut, flat, long_of, mix64
+from .util import Bits, chunks, cut, flat, long_of, mix64, sift
 
 LENGTH, GRAM = 100, 24
 #: Bytes of contexts in one suffix array and bytes of input for one bucket, about; occurrences from which an anchor is
@@ -432,51 +432,55 @@ def removed_spans(texts: DataFrame, wanted: Bits, total_bytes: int, length: int
 _FIELDS = ("names", "hashed", "size", "body", "which", "doc", "place")
 
 
-def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, texts_out: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts_out the kept bytes (`kept`, binary).
-
-    Null texts count as empty and lose nothing, like all texts of fewer than `length` bytes. Rows with a null id come
-    back with nothing removed. Rows that repeat an id and its text are the same document and never earlier than each
-    other. Other columns are not read; an empty table gives none. Kept texts are put together only for documents that
-    lose something but not all; the driver holds counts and Bloom filters of fixed size (16 MB at most).
-    """
-    spark = documents.sparkSession
+def find_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sums, parts, copies): doc_id, n_bytes and sha of every row; doc_id and spans (lo, hi) of documents that lose
+    something; doc_id of documents that repeat an earlier one as a whole."""
     ids, body = F.col(f"`{id_column}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     sums = cut(documents.select(ids.alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")))
-    texts = _texts(documents, id_column, text)
     named = sums.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
     first = named.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"))
     reps, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     wanted = Bits(reps).fill(first.select("rep"))
-    spans = removed_spans(texts, wanted, total, length, gram)
+    spans = removed_spans(_texts(documents, id_column, text), wanted, total, length, gram)
     parts = cut(spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
-    cuts = spark.sparkContext.broadcast(Bits(parts.count()).fill(parts.select("doc_id")))
+    copies = named.select("doc_id", "sha", "n_bytes").join(first, ["sha", "n_bytes"]).where("doc_id > rep").select("doc_id").distinct()
+    return sums, parts, copies
 
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(cuts.value.holds(long_of(batch.column(0)))))
+
+def cut_spans(raw: np.ndarray, spans: pa.StructArray) -> tuple[bytes, int]:
+    """(what is left of a text without its spans, how many runs went)."""
+    if not len(spans):
+        return raw.tobytes(), 0
+    lo, hi = spans.field("lo").to_numpy(), spans.field("hi").to_numpy()
+    upto = np.maximum.accumulate(hi)
+    new = np.concatenate(([True], lo[1:] > upto[:-1]))
+    lo, hi = lo[new], upto[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(hi) - 1]))]
+    edges = [0, *np.stack((lo, hi), 1).ravel().tolist(), len(raw)]
+    return b"".join(raw[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)), len(lo)
+
+
+def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Null texts count as empty and lose nothing, like all texts of fewer than `length` bytes. Rows with a null id come
+    back with nothing removed. Rows that repeat an id and its text are the same document and never earlier than each
+    other. Other columns are not read; an empty table gives none. Kept texts are put together only for documents that
+    lose something but not all; the driver holds counts and Bloom filters of fixed size (16 MB at most).
+    """
+    sums, parts, copies = find_repeats(documents, id_column, text, length, gram)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(1))
             out = []
             for k in range(batch.num_rows):
-                own = raw[offsets[k] : offsets[k + 1]]
-                pairs = batch.column(2)[k].values
-                lo, hi = pairs.field("lo").to_numpy(), pairs.field("hi").to_numpy()
-                upto = np.maximum.accumulate(hi)
-                new = np.concatenate(([True], lo[1:] > upto[:-1]))
-                lo, hi = lo[new], upto[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(hi) - 1]))]
-                edges = [0, *np.stack((lo, hi), 1).ravel().tolist(), len(own)]
-                kept = b"".join(own[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(own) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept if texts_out else None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    some = texts.mapInArrow(sieve, "doc_id long, text string").join(parts, "doc_id").select("doc_id", "text", "spans")
-    changed = some.mapInArrow(put_together, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "n_removed", "kept_sha256"])
-    # copies of a whole document lose everything
-    copies = named.select("doc_id", "sha", "n_bytes").join(first, ["sha", "n_bytes"]).where("doc_id > rep").select("doc_id", F.lit(True).alias("copy")).distinct()
-    joined = sums.join(copies, "doc_id", "left").join(changed, "doc_id", "left")
+                kept, n = cut_spans(raw[offsets[k] : offsets[k + 1]], batch.column(2)[k].values)
+                out.append((int(offsets[k + 1] - offsets[k]) - len(kept), n, hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_removed", "n_spans", "kept_sha256"])
+
+    some = sift(_texts(documents, id_column, text), parts.select("doc_id")).join(parts, "doc_id").select("doc_id", "text", "spans")
+    changed = some.mapInArrow(put_together, "doc_id long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "n_removed", "kept_sha256"])
+    joined = sums.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").join(changed, "doc_id", "left")
     whole = F.coalesce("copy", F.lit(False))
     return joined.select(
         "doc_id",
@@ -484,5 +488,32 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str =
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *([F.when(whole, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept")] if texts_out else []),
     )
+
+
+def drop_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """documents, all rows and columns, with repeated bytes taken out of the text (a code point that loses a byte goes
+    too); n_chars, if there is one, follows the new text."""
+    _, parts, copies = find_repeats(documents, id_column, text, length, gram)
+    spans = parts.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full").select(F.col("doc_id").alias("__id"), "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    spans = cut(spans)
+
+    @F.pandas_udf("string")
+    def kept(column, pairs):
+        import pandas as pd
+
+        out = []
+        for t, own in zip(column, pairs, strict=True):
+            lo, hi = (pa.array([int(x[k]) for x in own], pa.int64()) for k in ("lo", "hi"))
+            out.append(cut_spans(np.frombuffer(t.encode(), np.uint8), pa.StructArray.from_arrays([lo, hi], ["lo", "hi"]))[0].decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    touched = sift(documents, spans.select("__id"), id_column)
+    untouched = sift(documents, spans.select("__id"), id_column, inside=False)
+    met = touched.join(spans, touched[id_column] == spans["__id"])
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    new = met.withColumn("__new", F.when(F.col("copy"), F.lit("")).otherwise(kept(F.when(F.col("copy"), F.lit("")).otherwise(body), F.when(F.col("copy"), F.array().cast("array<struct<lo:bigint,hi:bigint>>")).otherwise(F.col("spans")))))
+    if "n_chars" in documents.columns:
+        new = new.withColumn("n_chars", F.char_length("__new").cast(documents.schema["n_chars"].dataType))
+    new = new.withColumn(text, F.col("__new")).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return untouched.unionByName(new)

@@ -185,3 +185,18 @@ def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text: s
 
     rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, n_sentences long, offending array<struct<start:long,end:long,p:double>>")
+
+
+def reject(documents: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """documents, whole rows and all columns, without those that score `threshold` or more; null and empty texts stay."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def chance(column):
+        import pandas as pd
+
+        raw, offsets = flat(pa.array(column, pa.large_string()))
+        out = [shared.value.documents(bags(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), hi - lo) for lo, hi in chunks(offsets, 4_000_000)]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return documents.where(chance(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) < threshold)

@@ -175,3 +175,26 @@ class Bits:
         empty.bits, empty.probes, empty.array = self.bits, self.probes, np.zeros(0, np.uint8)
         self.array = gather(keys, len(self.array), "uint8", lambda array, batch: empty.enter(array, long_of(batch.column(0))), "or")
         return self
+
+
+def sift(df: DataFrame, ids: DataFrame, id_column: str = "doc_id", inside: bool = True) -> DataFrame:
+    """Rows of df whose id is (inside) or is not in the one-column table ids; null ids never are.
+
+    A Bloom filter of bounded size decides for most rows without a shuffle; only rows that it takes for members meet the
+    table itself.
+    """
+    name = ids.columns[0]
+    bits = Bits(ids.count()).fill(ids.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").cast("long")))
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(column):
+        import pandas as pd
+
+        return pd.Series(shared.value.holds(column.fillna(0).to_numpy(np.int64)) & column.notna().to_numpy())
+
+    key = F.col(f"`{id_column}`").cast("long")
+    flagged = df.withColumn("__maybe", maybe(key))
+    members = ids.select(F.col(f"`{name}`").cast("long").alias("__id")).distinct()
+    met = flagged.where("__maybe").join(members, key == F.col("__id"), "left_semi" if inside else "left_anti").drop("__maybe")
+    return met if inside else flagged.where("not __maybe").drop("__maybe").unionByName(met)
