@@ -49,36 +49,71 @@ def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def best_of_block(query: np.ndarray, query_id: np.ndarray, rows: np.ndarray, ids: np.ndarray, pivots: np.ndarray, k: int, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of query, vec_id, score) of every query's k best in the block, the query's own row left out."""
-    order = np.argsort(ids, kind="stable")
-    rows, ids = rows[order], ids[order]
-    to_pivot, square = distances(rows, pivots), (rows**2).sum(1)
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller name."""
+    if len(scores) > k:
+        fair = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        scores, names = scores[fair], names[fair]
+    top = np.lexsort((names, -scores))[:k]
+    return scores[top], names[top]
+
+
+def best_of_block(query: np.ndarray, query_id: np.ndarray, rows: np.ndarray, ids: np.ndarray, pivots: np.ndarray, k: int, first: int = 256, together: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of query, vec_id, score) of every query's k best in the block, the query's own row left out.
+
+    The candidates with the greatest bounds are evaluated first, and whatever has a bound below the k-th score then is
+    eliminated. What is left is evaluated in bound order, in portions that double, with a stop as soon as the k-th
+    score is above all bounds left; where most of a group of queries' candidates are left, one matrix product serves
+    them all.
+    """
+    to_pivot, square = np.ascontiguousarray(distances(rows, pivots).T), (rows**2).sum(1)
     q_pivot, q_square = distances(query, pivots), (query**2).sum(1)
+    slack = 1e-6 * (square.max(initial=0) + q_square) + 1e-3  # for rounding: a bound may be too high, never too low
+    low, gap = np.empty(len(rows)), np.empty(len(rows))
+    half = square / 2
     out_q, out_id, out_score = [], [], []
-    for i in range(len(query)):
-        low = np.abs(to_pivot - q_pivot[i]).max(1) if pivots.size else np.zeros(len(rows))
-        most = (square + q_square[i] - low * low) / 2
-        most += 1e-6 * (square + q_square[i]) + 1e-3  # for rounding: a bound may be too high, never too low
-        by_bound = np.argsort(-most, kind="stable")
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        at = 0
-        while at < len(rows):
-            if len(best_s) == k and best_s[-1] > most[by_bound[at]]:
-                break
-            take = by_bound[at : at + step]
-            at += step
-            score = rows[take] @ query[i]
-            keep = ids[take] != query_id[i]
-            best_s, best_i = np.concatenate((best_s, score[keep])), np.concatenate((best_i, ids[take][keep]))
-            top = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[top], best_i[top]
-        out_q.append(np.full(len(best_s), i))
-        out_id.append(best_i)
-        out_score.append(best_s)
+    for at in range(0, len(query), together):
+        group, waiting = range(at, min(at + together, len(query))), []
+        for i in group:
+            low.fill(0)
+            for p in range(len(to_pivot)):
+                np.subtract(to_pivot[p], q_pivot[i, p], out=gap)
+                np.maximum(low, np.abs(gap, out=gap), out=low)
+            np.multiply(low, low, out=low)
+            most = half - low / 2 + (q_square[i] / 2 + slack[i])
+            left = np.flatnonzero(ids != query_id[i])
+            take, left = _portion(left, most, max(first, 2 * k))
+            best = _best(rows[take] @ query[i], ids[take], k)
+            waiting.append((i, most, left[most[left] >= best[0][-1]] if len(best[0]) == k else left, best))
+        dense = None
+        if sum(len(w[2]) for w in waiting) * 4 > len(rows) * len(waiting):
+            dense = query[group.start : group.stop] @ rows.T
+        for i, most, left, best in waiting:
+            portion = max(first, 2 * k)
+            while len(left):
+                portion *= 2
+                take, left = (left, left[:0]) if dense is not None else _portion(left, most, portion)
+                scores = dense[i - at, take] if dense is not None else rows[take] @ query[i]
+                if len(best[0]) == k:
+                    better = scores >= best[0][-1]
+                    scores, take = scores[better], take[better]
+                best = _best(np.concatenate((best[0], scores)), np.concatenate((best[1], ids[take])), k)
+                if len(best[0]) == k:
+                    left = left[most[left] >= best[0][-1]]
+            out_q.append(np.full(len(best[0]), i))
+            out_id.append(best[1])
+            out_score.append(best[0])
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score)
 
 
+def _portion(left: np.ndarray, most: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the `size` candidates with the greatest bounds, the others)."""
+    if len(left) <= size:
+        return left, left[:0]
+    cut = np.argpartition(-most[left], size)
+    return left[cut[:size]], left[cut[size:]]
+
+
 def top_k(df: DataFrame, k: int = 20, query: Column | None = None, id_column: str = "vec_id", embedding: str = "embedding", scale: float = 64.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products over all other rows.
 
