@@ -20,10 +20,10 @@ from .util import chunks, flat, long_of
 
 #: Hashed features; labelled documents of either label that training may use at most; a word needs so many of them;
 #: passes over them.
-FEATURES, MOST_TRAINING, LEAST_DOCUMENTS, ROUNDS = 1 << 18, 6000, 3, 120
+FEATURES, MOST_TRAINING, LEAST_DOCUMENTS, ROUNDS = 1 << 18, 2500, 3, 120
 
 #: Standard errors by which a word's log odds must favour toxic documents for it to be learned.
-EVIDENCE = 3.5
+EVIDENCE = 4.0
 
 #: What separates words: ASCII white space and punctuation. Sentences end at . ! ? and line feed.
 _SPLIT = np.zeros(256, bool)
@@ -75,10 +75,13 @@ class Model:
         return -np.expm1(-np.bincount(b.document, self.sentences(b), n))
 
 
-def train(feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Full-batch training of the noisy-or likelihood: Adam with decoupled soft thresholding, classes weighed alike at
-    first. Words seen in fewer than LEAST_DOCUMENTS training documents stay at zero. Without labels of both kinds the
-    model scores near the one it saw (near 0 for none)."""
+def train(feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray, share: float | None = None, rounds: int = ROUNDS) -> Model:
+    """Full-batch training of the noisy-or likelihood: Adam with decoupled soft thresholding.
+
+    `share` is that of toxic documents outside the sample (default: in it); documents weigh accordingly, rare classes
+    somewhat more. Words seen in fewer than LEAST_DOCUMENTS training documents stay at zero. Without labels of both
+    kinds the model scores near the one it saw (near 0 for none).
+    """
     n, toxic = len(label), label.astype(bool)
     if not n or toxic.all() or not toxic.any():
         return Model(np.zeros(FEATURES, np.float32), 0.0 if n and toxic.all() else -20.0)
@@ -88,21 +91,22 @@ def train(feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, label
     doc_count = np.bincount(pair % FEATURES, minlength=FEATURES)
     known = np.flatnonzero(doc_count >= LEAST_DOCUMENTS)
     hits = np.bincount(pair[toxic[pair // FEATURES]] % FEATURES, minlength=FEATURES)[known]
-    share, prior = doc_count[known], toxic.mean()
+    in_docs, prior = doc_count[known], toxic.mean()
     # only words that clearly favour toxic documents are learned: everything else would fit the sample's noise
-    odds = np.log((hits + 4 * prior) / (share - hits + 4 * (1 - prior))) - np.log(prior / (1 - prior))
-    error = np.sqrt(1 / (hits + 4 * prior) + 1 / (share - hits + 4 * (1 - prior)))
+    odds = np.log((hits + 4 * prior) / (in_docs - hits + 4 * (1 - prior))) - np.log(prior / (1 - prior))
+    error = np.sqrt(1 / (hits + 4 * prior) + 1 / (in_docs - hits + 4 * (1 - prior)))
     clear = odds > EVIDENCE * error
     known, w = known[clear], odds[clear]
     column = np.full(FEATURES, -1, np.int64)
     column[known] = np.arange(len(known))
     use = column[feature] >= 0
     feat, sent = column[feature[use]], sentence[use]
-    bias = np.log(max(prior, 1e-3) / max(1.0, len(document) / n)) - 2.0
+    bias = float(np.log(max(prior, 1e-3) / max(1.0, len(document) / n))) - 2.0
     m = np.zeros(len(w) + 1)
     v = np.zeros(len(w) + 1)
-    weigh = np.where(toxic, 0.5 / prior, 0.5 / (1 - prior)) / n
-    weigh = 0.5 * weigh + 0.5 / n
+    share = prior if share is None else share
+    balanced, actual = (np.where(toxic, x / prior, (1 - x) / (1 - prior)) / n for x in (0.5, share))
+    weigh = 0.25 * balanced + 0.75 * actual
     for t in range(1, rounds + 1):
         z = np.bincount(sent, w[feat], len(document)) + bias
         total = np.bincount(document, np.logaddexp(0, z), n)
@@ -131,6 +135,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """
     spark = documents.sparkSession
     lab = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
+    by_label = dict(lab.groupBy("__y").count().collect())
     picks = [r for y in (1, 0) for r in lab.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most).collect()]
     chosen = spark.createDataFrame([(r["__id"], r["__y"]) for r in picks], "__id long, __y int")  # 2 * most rows at most
     rows = documents.select(F.col(f"`{id_column}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__y")
@@ -148,17 +153,18 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
     found = rows.mapInArrow(featurise, "id long, y int, f binary, s binary").collect()
     found.sort(key=lambda r: (r["id"], r["f"], r["s"]))
-    feature, sentence, document, label_ = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    base = 0
+    feature, sentence, document, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
     for k, r in enumerate(found):
         s = np.frombuffer(r["s"], np.int32)
         count = int(s[-1]) + 1 if len(s) else 0
         feature.append(np.frombuffer(r["f"], np.int32))
-        sentence.append(s.astype(np.int64) + base)
-        document.append(np.full(count, k))
-        label_.append(r["y"])
+        sentence.append(s + np.int32(base))
+        document.append(np.full(count, k, np.int32))
         base += count
-    return train(np.concatenate(feature), np.concatenate(sentence), np.concatenate(document).astype(np.int64), np.array(label_))
+    labels_found = np.array([r["y"] for r in found])
+    everything = by_label.get(0, 0) + by_label.get(1, 0)
+    del found
+    return train(np.concatenate(feature), np.concatenate(sentence), np.concatenate(document), labels_found, by_label.get(1, 0) / everything if everything else None)
 
 
 def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
