@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .hypergeometric import communication_matrix
 
 #: Rows of one source partition and of one range of a shard, about; the most of either.
-ROWS_PER_PART, MOST_PARTS = 20_000, 8192
+ROWS_PER_PART, MOST_PARTS = 1000, 8192
 
 
 def _power(rows: int, most: int) -> int:
