@@ -157,7 +157,8 @@ class Bits:
 
     def _at(self, keys: np.ndarray) -> list[np.ndarray]:
         keys = keys.astype(np.int64).view(np.uint64)
-        return [mix64(keys ^ np.uint64(k + 1)) >> np.uint64(64 - self.bits) for k in range(self.probes)]
+        seeds = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(self.probes)]
+        return [mix64(keys ^ seed) >> np.uint64(64 - self.bits) for seed in seeds]
 
     def enter(self, array: np.ndarray, keys: np.ndarray) -> None:
         for at in self._at(keys):
