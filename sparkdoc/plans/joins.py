@@ -8,6 +8,7 @@ each combination of values, and the collected arrays are joined back.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 from typing import Any
 
@@ -26,6 +27,14 @@ from .pipeline import Flow, execute, single, stage
 LOCAL = {"$match", "$project", "$addFields", "$set", "$unset", "$replaceRoot", "$replaceWith", "$redact"}
 
 
+_numbers = itertools.count()
+
+
+def fresh(name: str) -> str:
+    """A hidden column's name that no other stage uses: lookups nest."""
+    return f"__sd_{name}{next(_numbers)}"
+
+
 def put(flow: Flow, df: DataFrame, path: str, e: E) -> DataFrame:
     """df with e at a (perhaps nested) path."""
     ((name, node),) = tree_of({path: e}).items()
@@ -77,32 +86,33 @@ def _by_key(flow: Flow, spec: dict, foreign: DataFrame, pipeline: list) -> Flow:
     local = concrete(resolve(flow.scope, spec["localField"]))
     remote = concrete(resolve(Scope.of(foreign.schema), spec["foreignField"]))
     remote_keys, remote_type, many = _members(remote)
-    keyed = foreign.withColumn("__sd_fk", F.explode_outer(remote_keys) if many else remote_keys)
-    made = execute(pipeline, Flow(keyed, replace(flow.context, variables={}), within=("__sd_fk",))) if pipeline else Flow(keyed, flow.context)
+    fk_name, lk_name, as_name, doc_name, la_name, lb_name = (fresh(n) for n in ("fk", "lk", "as", "doc", "la", "lb"))
+    keyed = foreign.withColumn(fk_name, F.explode_outer(remote_keys) if many else remote_keys)
+    made = execute(pipeline, Flow(keyed, replace(flow.context, variables={}), within=(fk_name,))) if pipeline else Flow(keyed, flow.context)
     docs = document(made.df)
     kind = T.ArrayType(docs.type)
-    fk = E(F.col("__sd_fk"), remote_type)
+    fk = E(F.col(fk_name), remote_type)
     local_keys, local_type, local_many = _members(local)
     unwound = spec.get("__unwind")
     if unwound is not None and not local_many:
         # fused with the $unwind behind it: rows meet rows, nothing is collected
-        side = made.df.select("__sd_fk", docs.col.alias("__sd_doc"))
-        left = flow.df.withColumn("__sd_lk", local_keys)
-        joined = left.join(side, equal(E(F.col("__sd_lk"), local_type), fk), "left" if unwound else "inner")
-        return flow.on(put(flow, joined, spec["as"], E(F.col("__sd_doc"), docs.type)).drop("__sd_doc", "__sd_lk", "__sd_fk"), ordered=False)
-    lists = made.df.groupBy("__sd_fk").agg(Order(list(made.ties)).list(docs.col).alias("__sd_as"))
+        side = made.df.select(fk_name, docs.col.alias(doc_name))
+        left = flow.df.withColumn(lk_name, local_keys)
+        joined = left.join(side, equal(E(F.col(lk_name), local_type), fk), "left" if unwound else "inner")
+        return flow.on(put(flow, joined, spec["as"], E(F.col(doc_name), docs.type)).drop(doc_name, lk_name, fk_name), ordered=False)
+    lists = made.df.groupBy(fk_name).agg(Order(list(made.ties)).list(docs.col).alias(as_name))
     empty = F.array().cast(kind)
     if not local_many:
-        left = flow.df.withColumn("__sd_lk", local_keys)
-        joined = left.join(lists, equal(E(F.col("__sd_lk"), local_type), fk), "left")
-        done = put(flow, joined, spec["as"], E(F.coalesce("__sd_as", empty), kind)).drop("__sd_as", "__sd_lk", "__sd_fk")
+        left = flow.df.withColumn(lk_name, local_keys)
+        joined = left.join(lists, equal(E(F.col(lk_name), local_type), fk), "left")
+        done = put(flow, joined, spec["as"], E(F.coalesce(as_name, empty), kind)).drop(as_name, lk_name, fk_name)
     else:
         # any member may match: the arrays of all members, each foreign document once
-        keys = flow.df.select(local.col.alias("__sd_la")).distinct().withColumn("__sd_lk", F.explode_outer(F.when(F.size("__sd_la") > 0, F.array_distinct("__sd_la"))))
-        met = keys.join(lists, equal(E(F.col("__sd_lk"), local_type), fk), "left").groupBy("__sd_la").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("__sd_as", empty)))).alias("__sd_as"))
-        left = flow.df.withColumn("__sd_lb", local.col)
-        joined = left.join(met, F.col("__sd_lb").eqNullSafe(F.col("__sd_la")), "left")
-        done = put(flow, joined, spec["as"], E(F.coalesce("__sd_as", empty), kind)).drop("__sd_as", "__sd_la", "__sd_lb")
+        keys = flow.df.select(local.col.alias(la_name)).distinct().withColumn(lk_name, F.explode_outer(F.when(F.size(la_name) > 0, F.array_distinct(la_name))))
+        met = keys.join(lists, equal(E(F.col(lk_name), local_type), fk), "left").groupBy(la_name).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce(as_name, empty)))).alias(as_name))
+        left = flow.df.withColumn(lb_name, local.col)
+        joined = left.join(met, F.col(lb_name).eqNullSafe(F.col(la_name)), "left")
+        done = put(flow, joined, spec["as"], E(F.coalesce(as_name, empty), kind)).drop(as_name, la_name, lb_name)
     if unwound is not None:
         from .pipeline import unwind
 
@@ -113,11 +123,12 @@ def _by_key(flow: Flow, spec: dict, foreign: DataFrame, pipeline: list) -> Flow:
 def _by_variables(flow: Flow, spec: dict, foreign: DataFrame, pipeline: list, let: dict[str, E]) -> Flow:
     if "localField" in spec:
         let = let | {"__sd_local": concrete(resolve(flow.scope, spec["localField"]))}
-    names = {n: f"__sd_v{i}" for i, n in enumerate(let)}
+    names = {n: fresh("v") for n in let}
     left = flow.df.withColumns({names[n]: e.col for n, e in let.items()})
     values = left.select(*names.values()).distinct()
     variables = {n: E(F.col(names[n]), e.type) for n, e in let.items()}
     scope = Scope.of(foreign.schema, variables)
+    as_name = fresh("as")
     conditions = []
     if "localField" in spec:
         conditions.append(equal(variables["__sd_local"], resolve(scope, spec["foreignField"])))
@@ -130,14 +141,14 @@ def _by_variables(flow: Flow, spec: dict, foreign: DataFrame, pipeline: list, le
     met = values.join(foreign, on)
     made = execute(rest, Flow(met, replace(flow.context, variables=variables), within=tuple(names.values()))) if rest else Flow(met, flow.context)
     docs = document(made.df)
-    lists = made.df.groupBy(*names.values()).agg(Order(list(made.ties)).list(docs.col).alias("__sd_as")).withColumnsRenamed({v: f"{v}r" for v in names.values()})
+    lists = made.df.groupBy(*names.values()).agg(Order(list(made.ties)).list(docs.col).alias(as_name)).withColumnsRenamed({v: f"{v}r" for v in names.values()})
     back = F.lit(True)
     for v in names.values():
         back = back & F.col(v).eqNullSafe(F.col(f"{v}r"))
     joined = left.join(lists, back, "left")
     kind = T.ArrayType(docs.type)
-    done = put(flow, joined, spec["as"], E(F.coalesce("__sd_as", F.array().cast(kind)), kind))
-    done = done.drop("__sd_as", *names.values(), *[f"{v}r" for v in names.values()])
+    done = put(flow, joined, spec["as"], E(F.coalesce(as_name, F.array().cast(kind)), kind))
+    done = done.drop(as_name, *names.values(), *[f"{v}r" for v in names.values()])
     if spec.get("__unwind") is not None:
         from .pipeline import unwind
 
