@@ -1,10 +1,18 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
 A document is the set of its k-word shingles. Two sets whose Jaccard similarity reaches t share a token among the
-n - ceil(t n) + 1 first tokens of each, under every global order of the tokens. One order feeds an inverted index over
-those prefixes; the pairs it finds must also share a prefix token under each of the other orders before they are
-verified exactly. All orders put tokens of many documents last, by a sketch of document counts over the whole corpus
-that only orders them (the join is exact whatever it says), and differ in the hash that orders the rest.
+n - ceil(t n) + 1 first tokens of each, under every global order of the tokens. All orders here go by the number of
+documents that hold a token, rare ones first, and differ in the hash that orders equals. One order feeds an inverted
+index over the prefixes; the pairs it finds must also share a prefix token under each of the other orders before they
+are verified exactly on the whole sets. Filters are as sharp as the sets' sizes allow: similarity t needs an overlap of
+o = t (na + nb) / (1 + t), so at most n - o tokens of a set are not shared; the first shared token stands no later than
+that in both, and prefixes of p tokens share at least p - (n - o) of them.
+
+Document counts are exact and over the whole corpus. Tokens are dealt out by value with the number of the chunk of
+documents that they come from; what occurs once ends there, everything else goes back to its chunk with its count.
+As tokens of one document come first in every order, a document whose prefix is made of them alone has no partners and
+takes no further part; that is nearly every document without near copies. Tokens that are very frequent within chunks
+(a line that a third of all documents share) are agreed on first and never dealt out: they come last in every order.
 
 Copies (equal sets) form classes first and one member of each goes on. Clusters are what is asked for, so pairs inside
 an already connected component need no check: first each token's members are verified against one hub, then only
@@ -18,16 +26,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textnp import hash_runs, lower_ascii, words
-from .util import Bits, chunks, cut, flat, gather, label_components, long_of, mix64
+from .util import Bits, arrow_map, chunks, cut, flat, label_components, long_of, mix64
 
-#: Counters of the sketch (4 MB in all, summed over every document); salts of the token orders, the first one's being indexed.
-SKETCH, SALTS = 1 << 20, (0x51, 0xA3, 0xE7)
-#: Prefix tokens that one bucket of the index holds, about; members of a token that are paired at a time.
-BUCKET, TOGETHER = 400_000, 2048
+#: Salts of the token orders, the first one's being indexed.
+SALTS = (0x51, 0xA3, 0xE7)
+#: Tokens that one bucket holds, about; members of a token that are paired at a time; bytes of text in a chunk.
+BUCKET, TOGETHER, CHUNK = 1_500_000, 2048, 2_000_000
+#: A token is frequent in a chunk if this share of its documents (and at least so many) hold it; how many frequent
+#: tokens are agreed on at most (a bound of what is broadcast: 0.8 MB), those of the most documents.
+FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 16, 64, 100_000
+#: Bits of a token in the index. Fewer bits only make candidates that verification drops.
+SHORT = 40
 
 
 @dataclass(frozen=True)
@@ -41,6 +55,15 @@ class Jaccard:
         """Length of the prefix; at least one token of it is shared by any set similar enough."""
         return np.where(n > 0, n + (-self.percent * n) // 100 + 1, 0)
 
+    def overlap(self, a, b):
+        """Common tokens that sets of a and b tokens need."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
+    def in_prefix(self, a, b):
+        """Common tokens that their prefixes need, under any order."""
+        need = self.overlap(a, b)
+        return np.maximum(np.minimum(self.prefix(a) - (a - need), self.prefix(b) - (b - need)), 1)
+
     def linked(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
@@ -76,22 +99,6 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return value[new], np.concatenate(([0], np.cumsum(np.bincount(of[new], minlength=n))))
 
 
-def order_keys(tokens: np.ndarray, levels: np.ndarray, salt: int) -> np.ndarray:
-    """Where tokens stand in a global order: rare ones first, by level of their sketch count, then by a salted hash."""
-    level = levels[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
-    return (level << np.uint64(58)) | (mix64(tokens ^ np.uint64(salt)) >> np.uint64(6))
-
-
-def prefix_places(tokens: np.ndarray, bounds: np.ndarray, levels: np.ndarray, salt: int, how: Jaccard) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the prefix tokens, text by text in the salted order; where each text's begin and the last end)."""
-    n = np.diff(bounds)
-    of = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((order_keys(tokens, levels, salt), of))
-    length = how.prefix(n)
-    rank = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
-    return order[rank < np.repeat(length, n)], np.concatenate(([0], np.cumsum(length)))
-
-
 def _rows(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     return documents.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
@@ -104,7 +111,7 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, wanted: Bits | None = None
             continue
         raw, offsets = flat(batch.column(1))
         ids = long_of(batch.column(0))
-        for lo, hi in chunks(offsets, 2_000_000):
+        for lo, hi in chunks(offsets, CHUNK):
             yield ids[lo:hi], *shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
 
 
@@ -114,31 +121,34 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def sketch_levels(rows: DataFrame, k: int) -> np.ndarray:
-    """Level of each counter: 0 up to twice the median (and 32), beyond that the logarithm of the count."""
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as byte planes of the least width that holds them; high planes of zeros compress away."""
+    width = 4 if not len(values) or int(values.max()) < 1 << 32 else 8
+    return bytes([width]) + np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
-    def add(array: np.ndarray, batch: pa.RecordBatch) -> None:
-        for _, tokens, _ in _parts([batch], k):
-            array += np.bincount((tokens >> np.uint64(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
 
-    counts = gather(rows, SKETCH, "uint32", add)
-    return np.where(counts > 2 * np.median(counts) + 32, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
+def _from_planes(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64)
 
 
-def join_components(documents: DataFrame, how: Jaccard, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).
+def frequent_tokens(made: DataFrame) -> np.ndarray:
+    found = made.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "s1").limit(FREQUENT_MOST).select("s1").collect()
+    return np.sort(np.array([r["s1"] for r in found], np.int64).view(np.uint64))
 
-    Null texts and texts without words have no shingles and stand alone. Rows with a null id take no part. An id that
-    repeats is one node: a link of any of its rows counts. Equal sets are linked whatever their texts. Other columns
-    are not read; an empty table gives none. What is broadcast has a fixed size: the sketch's levels (1 MB) and
-    Bloom filters (16 MB at most) that only spare work. No group is ever collected: index buckets are cut by token,
-    pairs of a token are formed in squares of TOGETHER members.
-    """
-    spark = documents.sparkSession
-    rows = _rows(documents, id_column, text)
-    levels = spark.sparkContext.broadcast(sketch_levels(rows, how.k))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
+def features(rows: DataFrame, how: Jaccard) -> DataFrame:
+    """kind 0: doc_id, n (size of the set), s1, s2 (equal sets have equal ones). kind 1: a frequent token s1 of a chunk
+    and in how many (n) of its documents it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tokens, bounds in _parts(batches, how.k):
             n = np.diff(bounds)
             s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -146,82 +156,245 @@ def join_components(documents: DataFrame, how: Jaccard, id_column: str = "doc_id
             if len(some):
                 s1[some] = np.add.reduceat(mix64(tokens), bounds[some])
                 s2[some] = np.add.reduceat(mix64(tokens ^ np.uint64(0x5DEECE66D)), bounds[some])
-            places, cuts = prefix_places(tokens, bounds, levels.value, SALTS[0], how)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _binary(tokens[places], cuts)], names=["doc_id", "n", "s1", "s2", "prefix"])
+            yield _record(np.zeros(len(n), np.int32), ids, n, s1.view(np.int64), s2.view(np.int64))
+            least = max(FREQUENT_LEAST, int(len(some) * FREQUENT_SHARE))
+            if len(some) > least:
+                value, count = np.unique(tokens, return_counts=True)
+                value, count = value[count >= least], count[count >= least]
+                zeros = np.zeros(len(value), np.int64)
+                yield _record(np.ones(len(value), np.int32), zeros, count, value.view(np.int64), zeros)
 
-    made = cut(rows.mapInArrow(features, "doc_id long, n long, s1 long, s2 long, prefix binary"))
-    some = made.where("n > 0")
-    classes = cut(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
-    postings = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(1, int(postings // BUCKET) + 1)
+    def _record(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c.astype(np.int64)) for c in columns[1:])], names=["kind", "doc_id", "n", "s1", "s2"])
+
+    return arrow_map(rows, run, "kind int, doc_id long, n long, s1 long, s2 long")
+
+
+def prefixes(rows: DataFrame, wanted: Bits, total: int, frequent: np.ndarray, how: Jaccard) -> DataFrame:
+    """doc, n, own (tokens that no other document holds: they come first) and for each order k the prefix tokens that
+    other documents hold too (`p0`, `p1`, ...; binary), for the documents that have any. `total`: tokens of all documents that `wanted` holds, about."""
+    spark = rows.sparkSession
+    buckets = max(1, int(total // BUCKET) + 1)
+    sieve, often = spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(frequent)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        chunk = (task.partitionId() if task else 0) << 24  # the same in every attempt of a task
+        for ids, tokens, bounds in _parts(batches, how.k, sieve.value):
+            n = np.diff(bounds)
+            of = np.repeat(np.arange(len(n)), n)
+            last = _within(tokens, often.value)
+            at = np.concatenate(([0], np.cumsum(np.bincount(of[last], minlength=len(n)))))
+            short = tokens >> np.uint64(64 - SHORT)
+            yield _row([chunk % buckets], [1], [chunk], [ids.tobytes()], [n.astype(np.int32).tobytes()], [at.astype(np.int32).tobytes() + short[last].tobytes()])
+            short, of = short[~last], of[~last]
+            order = np.argsort(short, kind="stable")
+            short, of = short[order], of[order]
+            bucket = ((short * np.uint64(buckets)) >> np.uint64(SHORT)).astype(np.int64)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(cuts)).tolist()
+            if some:
+                first = [int(short[cuts[b]]) for b in some]
+                yield _row(some, [0] * len(some), [chunk] * len(some), [np.int64(f).tobytes() for f in first], [_planes(np.diff(short[cuts[b] : cuts[b + 1]])) for b in some], [_planes(of[cuts[b] : cuts[b + 1]]) for b in some])
+            chunk += 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        at = None
+        for batch in batches:
+            for bucket, kind, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if bucket != at and held:
+                    yield from counted(held)
+                    held = []
+                at = bucket
+                if kind == 1:
+                    yield _row([bucket], [1], *([x] for x in row))
+                else:
+                    held.append(row)
+        if held:
+            yield from counted(held)
+
+    def counted(held: list) -> Iterator[pa.RecordBatch]:
+        tokens = [np.cumsum(np.concatenate(([np.frombuffer(r[1], np.int64)[0]], _from_planes(r[2]).astype(np.int64)))).astype(np.uint64) for r in held]
+        size = np.array([len(t) for t in tokens])
+        tokens = np.concatenate(tokens)
+        order = np.argsort(tokens, kind="stable")
+        ordered = tokens[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        start = np.flatnonzero(new)
+        times = np.diff(np.append(start, len(ordered)))
+        counts = np.empty(len(tokens), np.int64)
+        counts[order] = np.repeat(times, times)
+        ends = np.cumsum(size)
+        out: list[list] = [[], [], []]
+        for row, lo, hi in zip(held, (ends - size).tolist(), ends.tolist(), strict=True):
+            many = np.flatnonzero(counts[lo:hi] > 1)
+            if len(many):
+                own = tokens[lo:hi][many]
+                out[0].append(row[0])
+                out[1].append(_planes(_from_planes(row[3])[many]))
+                out[2].append(_planes(counts[lo:hi][many]) + own.tobytes())
+        if out[0]:
+            yield _row([0] * len(out[0]), [0] * len(out[0]), out[0], [b""] * len(out[0]), out[1], out[2])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, table, of, tokens, counts = None, None, [], [], []
+        for batch in batches:
+            for _, kind, chunk, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if chunk != at and table is not None:
+                    yield from chosen(table, of, tokens, counts)
+                    table, of, tokens, counts = None, [], [], []
+                at = chunk
+                if kind == 1:
+                    table = (np.frombuffer(a, np.int64), np.frombuffer(b, np.int32).astype(np.int64), c)
+                else:
+                    own = _from_planes(b)
+                    of.append(own)
+                    tokens.append(np.frombuffer(c, np.uint64, offset=len(c) - 8 * len(own)))
+                    counts.append(_from_planes(c[: len(c) - 8 * len(own)]))
+        if table is not None:
+            yield from chosen(table, of, tokens, counts)
+
+    def chosen(table, of: list, tokens: list, counts: list) -> Iterator[pa.RecordBatch]:
+        ids, n, tail = table
+        starts = np.frombuffer(tail, np.int32, len(ids) + 1).astype(np.int64)
+        last = np.frombuffer(tail, np.uint64, offset=4 * (len(ids) + 1)) if starts[-1] else np.zeros(0, np.uint64)
+        of = np.concatenate([*of, np.repeat(np.arange(len(ids)), np.diff(starts)).astype(np.uint64)]).astype(np.int64)
+        tokens = np.concatenate([*tokens, last])
+        counts = np.concatenate([*counts, np.full(len(last), 1 << 62, np.uint64)])
+        shared = np.bincount(of, minlength=len(ids))
+        take = np.maximum(how.prefix(n) - (n - shared), 0)  # tokens of one document come first
+        keep = take[of] > 0
+        of, tokens, counts = of[keep], tokens[keep], counts[keep]
+        chosen_ = np.flatnonzero(take > 0)
+        if not len(chosen_):
+            return
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(ids)))))
+        columns = []
+        for salt in SALTS:
+            order = np.lexsort((mix64(tokens ^ np.uint64(salt)), counts, of))
+            rank = np.arange(len(order)) - bounds[of[order]]
+            picked = order[rank < take[of[order]]]
+            columns.append(_binary(tokens[picked], np.concatenate(([0], np.cumsum(take[chosen_])))))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[chosen_]), pa.array(n[chosen_]), pa.array((n - shared)[chosen_]), *columns], names=["doc", "n", "own", *_PREFIXES])
+
+    def _row(*columns) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", "chunk", "a", "b", "c"])
+
+    schema = "bucket int, kind int, chunk long, a binary, b binary, c binary"
+    dealt = arrow_map(arrow_map(rows, deal, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket"), count, schema)
+    back = dealt.repartition(max(buckets, 1), "chunk").sortWithinPartitions("chunk", F.col("kind").desc())
+    return arrow_map(back, choose, "doc long, n long, own long, " + ", ".join(f"{p} binary" for p in _PREFIXES))
+
+
+_PREFIXES = [f"p{k}" for k in range(len(SALTS))]
+
+
+def join_components(documents: DataFrame, how: Jaccard, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own included).
+
+    Null texts and texts without words have no shingles and stand alone. Rows with a null id take no part. An id that
+    repeats is one node: a link of any of its rows counts. Equal sets are linked whatever their texts. Other columns
+    are not read; an empty table gives none. What is broadcast has a fixed size: frequent tokens and Bloom filters
+    (16 MB at most) that only spare work. No group is ever collected: pairs of a token are formed in squares of
+    TOGETHER members.
+    """
+    rows = _rows(documents, id_column, text)
+    made = cut(features(rows, how))
+    some = made.where("kind = 0 and n > 0")
+    classes = cut(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
+    reps, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wanted = Bits(reps).fill(classes.select("rep"))
+    held = cut(prefixes(rows, wanted, total, frequent_tokens(made), how))
+    postings = held.agg(F.sum(F.octet_length("p0") / 8)).first()[0] or 0
+    buckets = max(1, int(postings // 400_000) + 1)
 
     # 1: hubs
-    pairs = cut(_indexed(classes.select("rep", "n", "prefix", F.col("rep").alias("comp")), buckets, how, hubs=True).distinct())
-    links = cut(_verified(rows, pairs, levels, how))
+    named = held.withColumn("comp", F.col("doc"))
+    pairs = cut(_indexed(named, buckets, how, hubs=True).distinct())
+    links = cut(_verified(rows, pairs, held, how))
     roots = label_components(links)
     # 2: members of different components that still share a token
-    named = classes.select("rep", "n", "prefix").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", F.coalesce("root", "rep").alias("comp"))
+    named = held.join(roots, F.col("doc") == F.col("node"), "left").select("doc", "n", "own", "p0", F.coalesce("root", "doc").alias("comp"))
     across = cut(_indexed(named, buckets, how, hubs=False).distinct().join(pairs, ["a", "b"], "left_anti"))
     if across.limit(1).count():
-        more = cut(_verified(rows, across, levels, how))
+        more = cut(_verified(rows, across, held, how))
         if more.limit(1).count():
             roots = label_components(links.union(more))
-    of_class = classes.select("n", "s1", "s2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id"))
+    of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id"))
     member = some.select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return member.unionByName(made.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return member.unionByName(made.where("kind = 0 and n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _indexed(classes: DataFrame, buckets: int, how: Jaccard, hubs: bool) -> DataFrame:
+def _indexed(held: DataFrame, buckets: int, how: Jaccard, hubs: bool) -> DataFrame:
     """Candidate pairs (a < b) of the inverted index: every member with its token's hub, or all pairs across components."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(2))
             count = np.diff(offsets) // 8
-            token = raw.view(np.uint64) if len(raw) else np.zeros(0, np.uint64)
+            token = np.frombuffer(raw.tobytes(), np.uint64)
             bucket = (token % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            columns = [token[order], *(np.repeat(long_of(batch.column(c)), count)[order] for c in (0, 3)), np.repeat(long_of(batch.column(1)), count)[order].astype(np.int32)]
+            place = np.repeat(long_of(batch.column(4)) - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            columns = [token[order], *(np.repeat(long_of(batch.column(c)), count)[order] for c in (0, 3)), np.repeat(long_of(batch.column(1)), count)[order].astype(np.int32), place[order].astype(np.int32)]
             of, begin = np.unique(bucket[order], return_index=True)
             cuts = np.append(begin, len(order))
             if len(of):
-                yield pa.RecordBatch.from_arrays([pa.array(of), *(_binary(c, cuts) for c in columns)], names=["bucket", "token", "doc", "comp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(of), *(_binary(c, cuts) for c in columns)], names=["bucket", "token", "doc", "comp", "n", "place"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        rows, at = [], None
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if bucket != at and held:
-                    yield from _pairs(held, how, hubs)
-                    held = []
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if bucket != at and rows:
+                    yield from _pairs(rows, how, hubs)
+                    rows = []
                 at = bucket
-                held.append(row)
-        if held:
-            yield from _pairs(held, how, hubs)
+                rows.append(row)
+        if rows:
+            yield from _pairs(rows, how, hubs)
 
-    packed = classes.select("rep", "n", "prefix", "comp").mapInArrow(post, "bucket int, token binary, doc binary, comp binary, n binary")
-    return packed.repartition(max(1, min(buckets, 100_000)), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    packed = arrow_map(held.select("doc", "n", "p0", "comp", "own"), post, "bucket int, token binary, doc binary, comp binary, n binary, place binary")
+    return arrow_map(packed.repartition(max(1, min(buckets, 100_000)), "bucket").sortWithinPartitions("bucket"), meet, "a long, b long")
 
 
 def _pairs(held: list, how: Jaccard, hubs: bool) -> Iterator[pa.RecordBatch]:
-    token, doc, comp, n = (np.concatenate([np.frombuffer(r[c], t) for r in held]) for c, t in enumerate((np.uint64, np.int64, np.int64, np.int32)))
+    token, doc, comp, n, place = (np.concatenate([np.frombuffer(r[c], t) for r in held]) for c, t in enumerate((np.uint64, np.int64, np.int64, np.int32, np.int32)))
     order = np.lexsort((doc, token))
-    token, doc, comp, n = token[order], doc[order], comp[order], n[order].astype(np.int64)
-    new = np.concatenate(([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, bool)
-    start = np.flatnonzero(new)
+    token, doc, comp, n, place = token[order], doc[order], comp[order], n[order].astype(np.int64), place[order].astype(np.int64)
+    if len(token):
+        # who stands too late for even the smallest partner in reach goes
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        smallest = np.repeat(np.minimum.reduceat(n, start), np.diff(np.append(start, len(token))))
+        reach = np.maximum(smallest, -(-how.percent * n // 100))
+        early = place <= n - how.overlap(n, reach)
+        token, doc, comp, n, place = token[early], doc[early], comp[early], n[early], place[early]
+
+    def fit(i, j):
+        need = how.overlap(n[i], n[j])
+        return (comp[i] != comp[j]) & (doc[i] != doc[j]) & how.sizes_fit(n[i], n[j]) & (place[i] <= n[i] - need) & (place[j] <= n[j] - need)
+
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(token)))
     out: list[np.ndarray] = []
     if hubs:
-        hub = np.repeat(start, size)
-        keep = (doc[hub] != doc) & how.sizes_fit(n[hub], n)
-        out.append(np.stack((doc[hub][keep], doc[keep])))
-    else:
-        low, high = (f.reduceat(comp, start) if len(start) else start for f in (np.minimum, np.maximum))
-        for s, m in zip(start[low != high].tolist(), size[low != high].tolist(), strict=True):
+        hub, each = np.repeat(start, size), np.arange(len(token))
+        good = fit(hub, each)
+        out.append(np.stack((doc[hub[good]], doc[each[good]])))
+    elif len(start):
+        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        small = np.repeat(mixed & (size <= 64), size)
+        for shift in range(1, int(size[mixed & (size <= 64)].max(initial=1))):  # all small groups at once
+            i = np.flatnonzero(small[:-shift] & (token[:-shift] == token[shift:]))
+            i = i[fit(i, i + shift)]
+            out.append(np.stack((doc[i], doc[i + shift])))
+        for s, m in zip(start[mixed & (size > 64)].tolist(), size[mixed & (size > 64)].tolist(), strict=True):
             for x in range(s, s + m, TOGETHER):
                 for y in range(x, s + m, TOGETHER):
                     i, j = np.arange(x, min(x + TOGETHER, s + m))[:, None], np.arange(y, min(y + TOGETHER, s + m))[None]
-                    i, j = np.nonzero((comp[i] != comp[j]) & (doc[i] < doc[j]) & how.sizes_fit(n[i], n[j]))
+                    i, j = np.nonzero(fit(i, j) & (i < j))
                     out.append(np.stack((doc[i + x], doc[j + y])))
                     if sum(o.shape[1] for o in out) > 1_000_000:
                         yield _distinct(out)
@@ -239,42 +412,44 @@ def _distinct(out: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, levels, how: Jaccard) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, held: DataFrame, how: Jaccard) -> DataFrame:
     """The pairs that pass the other orders' filters and whose similarity, counted on the whole sets, is high enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    spark = rows.sparkSession
-    wanted = spark.sparkContext.broadcast(Bits(ids.count()).fill(ids))  # sieves texts; what slips through joins nothing
+    others = _PREFIXES[1:]
+    side = lambda name: held.select(F.col("doc").alias(name), F.struct("n", *others).alias(f"{name}_prefix"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_prefix", "b_prefix")
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that share enough prefix tokens under every other order."""
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            need = how.in_prefix(*(long_of(batch.column(c).field("n")) for c in (2, 3)))
+            for p in others:
+                left, right = batch.column(2).field(p), batch.column(3).field(p)
+                for i in np.flatnonzero(keep).tolist():
+                    keep[i] = _common(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)) >= need[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    left = cut(arrow_map(met, intersect, "a long, b long").distinct())
+    ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    wanted = rows.sparkSession.sparkContext.broadcast(Bits(ids.count()).fill(ids))  # sieves texts; what slips through joins nothing
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids_, tokens, bounds in _parts(batches, how.k, wanted.value):
-            columns = [_binary(tokens, bounds)]
-            for salt in SALTS[1:]:
-                places, cuts = prefix_places(tokens, bounds, levels.value, salt, how)
-                columns.append(_binary(places.astype(np.int32) - np.repeat(bounds[:-1], np.diff(cuts)).astype(np.int32), cuts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids_), *columns], names=["id", "tokens", *(f"p{k}" for k in range(len(SALTS) - 1))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids_), _binary(tokens, bounds)], names=["id", "tokens"])
 
-    extra = [f"p{k}" for k in range(len(SALTS) - 1)]
-    held = cut(rows.mapInArrow(sets, "id long, tokens binary, " + ", ".join(f"{p} binary" for p in extra)))
-    side = lambda name: held.select(F.col("id").alias(name), F.struct("tokens", *extra).alias(f"{name}_set"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    whole = cut(arrow_map(rows, sets, "id long, tokens binary"))
+    of = lambda name: whole.select(F.col("id").alias(name), F.col("tokens").alias(f"{name}_set"))
+    both = left.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_set", "b_set")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = long_of(batch.column(0)), long_of(batch.column(1))
-            keep = np.zeros(len(a), bool)
-            left, right = batch.column(2), batch.column(3)
-            for i in range(len(a)):
-                x, y = left[i], right[i]
-                s, t = np.frombuffer(x["tokens"].as_buffer(), np.uint64), np.frombuffer(y["tokens"].as_buffer(), np.uint64)
-                for p in extra:
-                    u, v = s[np.frombuffer(x[p].as_buffer(), np.int32)], t[np.frombuffer(y[p].as_buffer(), np.int32)]
-                    if not _common(u, v):
-                        break
-                else:
-                    keep[i] = how.linked(_common(s, t), len(s), len(t))
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                s, t = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                keep[i] = how.linked(_common(s, t), len(s), len(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "a_set", "b_set").mapInArrow(verify, "a long, b long").distinct()
+    return arrow_map(both, verify, "a long, b long").distinct()
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
