@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import arrow_map
+
 # Public license notices and texts.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -167,4 +169,4 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col
 
     rows = df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     fields = "license:string,coverage:double,matched:long,first_word:long,end_word:long"
-    return rows.mapInArrow(run, f"doc_id long, n_licenses long, {fields.replace(':', ' ')}, matches array<struct<{fields}>>")
+    return arrow_map(rows, run, f"doc_id long, n_licenses long, {fields.replace(':', ' ')}, matches array<struct<{fields}>>")

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Bits, chunks, cut, flat, long_of, mix64, sift
+from .util import Bits, arrow_map, chunks, cut, flat, long_of, mix64, sift
 
 LENGTH, GRAM = 100, 24
 #: Bytes of contexts in one suffix array and bytes of input for one bucket, about; occurrences from which an anchor is
 #: dealt out string by string.
-BLOCK, BUCKET, HOT = 2_000_000, 6_000_000, 4000
+BLOCK, BUCKET, HOT = 1_200_000, 6_000_000, 4000
 #: Ends a context in a suffix array: no byte of UTF-8.
 STOP = 0xFF
 _EDGE = np.uint64(0xFF51AFD7ED558CCD)
@@ -375,7 +375,7 @@ def removed_spans(texts: DataFrame, wanted: Bits, total_bytes: int, length: int
         if held:
             yield flush()
 
-    found = cut(texts.mapInArrow(send, "bucket int, h binary").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "h long, n long"))
+    found = cut(arrow_map(arrow_map(texts, send, "bucket int, h binary").repartition(buckets, "bucket").sortWithinPartitions("bucket"), count, "h long, n long"))
     how_many, how_hot = found.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > HOT, 1))).first()
     many = spark.sparkContext.broadcast(Bits(how_many, probes=3).fill(found.select("h")))
     hot = spark.sparkContext.broadcast(Bits(how_hot, probes=3).fill(found.where(F.col("n") > HOT).select("h")) if how_hot else None)
@@ -425,8 +425,8 @@ def removed_spans(texts: DataFrame, wanted: Bits, total_bytes: int, length: int
         if at is not None:
             yield from flush()
 
-    sent = texts.mapInArrow(contexts, "bucket int, " + ", ".join(f"{f} binary" for f in _FIELDS))
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, lo long, hi long")
+    sent = arrow_map(texts, contexts, "bucket int, " + ", ".join(f"{f} binary" for f in _FIELDS))
+    return arrow_map(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), sort, "doc_id long, lo long, hi long")
 
 
 _FIELDS = ("names", "hashed", "size", "body", "which", "doc", "place")
@@ -479,7 +479,7 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_removed", "n_spans", "kept_sha256"])
 
     some = sift(_texts(documents, id_column, text), parts.select("doc_id")).join(parts, "doc_id").select("doc_id", "text", "spans")
-    changed = some.mapInArrow(put_together, "doc_id long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "n_removed", "kept_sha256"])
+    changed = arrow_map(some, put_together, "doc_id long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "n_removed", "kept_sha256"])
     joined = sums.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").join(changed, "doc_id", "left")
     whole = F.coalesce("copy", F.lit(False))
     return joined.select(

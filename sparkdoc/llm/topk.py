@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import arrow_map
+
 #: Rows of one block of candidates and of one block of queries; rows from which pivots are picked, and how many.
 CANDIDATES, QUERIES, PIVOT_SAMPLE, PIVOTS = 8192, 1024, 2048, 16
 #: A scaled component beyond this could overflow a score; such a vector raises.
@@ -160,9 +162,9 @@ def top_k(df: DataFrame, k: int = 20, query: Column | None = None, id_column: st
                 yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([int(b[group[0]])], pa.int32()), pa.array([ids[group].astype(np.int64).tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], names=["d", "b", "ids", "m"])
 
     packed = "d int, b int, ids binary, m binary"
-    candidates = spread.select("id", "v", "d", F.get("c", F.lit(0)).alias("b")).mapInArrow(pack, packed).select("d", F.col("b").alias("block"), F.lit(0).alias("side"), "ids", "m")
+    candidates = arrow_map(spread.select("id", "v", "d", F.get("c", F.lit(0)).alias("b")), pack, packed).select("d", F.col("b").alias("block"), F.lit(0).alias("side"), "ids", "m")
     # queries of a block come together once, then a packed copy goes to every block of candidates
-    queries = spread.where("qb is not null").select("id", "v", "d", F.col("qb").alias("b")).repartition("d", "b").mapInArrow(pack, packed)
+    queries = arrow_map(spread.where("qb is not null").select("id", "v", "d", F.col("qb").alias("b")).repartition("d", "b"), pack, packed)
     to_all = F.explode(F.sequence(F.lit(0), F.element_at(of_dim, F.col("d")) - 1))
     copies = queries.select("d", to_all.alias("block"), F.lit(1).alias("side"), "ids", "m")
 
@@ -186,6 +188,6 @@ def top_k(df: DataFrame, k: int = 20, query: Column | None = None, id_column: st
 
     n_blocks = sum(blocks.values())
     met = candidates.unionByName(copies).repartition(max(n_blocks, 1), "d", "block").sortWithinPartitions("d", "block", "side")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = arrow_map(met, search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textnp import hash_runs, lower_ascii, words
-from .util import chunks, flat, long_of
+from .util import arrow_map, chunks, flat, long_of
 
 #: Hashed features; labelled documents of either label that training may use at most; a word needs so many of them;
 #: passes over them.
@@ -143,7 +143,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(1))
-            for lo, hi in chunks(offsets, 4_000_000):
+            for lo, hi in chunks(offsets, 2_000_000):
                 b = bags(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 at = np.searchsorted(b.document, np.arange(hi - lo + 1))
                 word = np.searchsorted(b.sentence, at)
@@ -151,7 +151,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
                 sents = [(b.sentence[word[k] : word[k + 1]] - at[k]).astype(np.int32).tobytes() for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(feats, pa.binary()), pa.array(sents, pa.binary())], names=["id", "y", "f", "s"])
 
-    found = rows.mapInArrow(featurise, "id long, y int, f binary, s binary").collect()
+    found = arrow_map(rows, featurise, "id long, y int, f binary, s binary").collect()
     found.sort(key=lambda r: (r["id"], r["f"], r["s"]))
     feature, sentence, document, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
     for k, r in enumerate(found):
@@ -178,7 +178,7 @@ def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(1))
-            for lo, hi in chunks(offsets, 4_000_000):
+            for lo, hi in chunks(offsets, 2_000_000):
                 b = bags(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 minus_log = shared.value.sentences(b)
                 total = np.bincount(b.document, minus_log, hi - lo)
@@ -190,7 +190,7 @@ def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.clip(-np.expm1(-total), 0, 1)), pa.array(count), lists], names=["doc_id", "score", "n_sentences", "offending"])
 
     rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, n_sentences long, offending array<struct<start:long,end:long,p:double>>")
+    return arrow_map(rows, run, "doc_id long, score double, n_sentences long, offending array<struct<start:long,end:long,p:double>>")
 
 
 def reject(documents: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -202,7 +202,7 @@ def reject(documents: DataFrame, model: Model, text: str = "text", threshold: fl
         import pandas as pd
 
         raw, offsets = flat(pa.array(column, pa.large_string()))
-        out = [shared.value.documents(bags(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), hi - lo) for lo, hi in chunks(offsets, 4_000_000)]
+        out = [shared.value.documents(bags(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), hi - lo) for lo, hi in chunks(offsets, 2_000_000)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return documents.where(chance(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))) < threshold)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -55,6 +57,41 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+#: Bytes of one Arrow batch, about: two workers and the JVM's buffers share an executor's memory.
+BATCH = 16 << 20
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with small batches, whose memory goes back to the system as the work goes on.
+
+    Lowers the session's spark.sql.execution.arrow.maxBytesPerBatch to BATCH if it is higher.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", str(conf.get(key)))
+    if now is None or not 0 < int(now[0]) <= BATCH:
+        conf.set(key, str(BATCH))
+
+    def tidy(batches):
+        try:
+            for k, out in enumerate(run(batches)):
+                yield out
+                if k % 16 == 15:
+                    trim()
+        finally:
+            trim()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def trim() -> None:
+    """Give freed memory back: workers live on between tasks and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def long_of(column: pa.Array) -> np.ndarray:
     """An integer column without nulls as int64."""
     return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -142,7 +179,7 @@ def gather(df: DataFrame, size: int, dtype: str, add, combine: str = "add", piec
         yield from packed(sorted(held.items()))
 
     out = np.zeros(size, dtype)
-    for r in df.mapInArrow(partial, "k int, b binary").repartition("k").mapInArrow(united, "k int, b binary").collect():
+    for r in arrow_map(arrow_map(df, partial, "k int, b binary").repartition("k"), united, "k int, b binary").collect():
         part = np.frombuffer(zlib.decompress(r["b"]), dtype)
         out[r["k"] * step : r["k"] * step + len(part)] = part
     return out
