@@ -15,14 +15,17 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import arrow_map, trim
+
 #: Distinct pieces whose ids a worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -37,8 +40,8 @@ class Replay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        made = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        left, right, rank = (np.array(x, np.int64) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64),) * 3
+        made = np.fromiter((x for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], r)), np.int64)
+        left, right, rank = made[::3], made[1::3], made[2::3]
         self.shift = max(1, int(max(ranks.values())).bit_length())
         order = np.argsort(left << self.shift | right, kind="stable")
         self.keys, self.ranks = (left << self.shift | right)[order], rank[order].astype(np.int32)
@@ -169,6 +172,7 @@ def encoder(ranks, pattern: str):
     def encode(texts: list[str]) -> list[np.ndarray]:
         if not state:
             state.update(replay=Replay(ranks.value), split=regex.compile(pattern), number=Numbering(), ids=np.zeros(0, np.int32), start=np.zeros(1, np.int64))
+            trim()
         if len(state["number"]) > REMEMBERED:
             state.update(number=Numbering(), ids=np.zeros(0, np.int32), start=np.zeros(1, np.int64))
         number, split = state["number"], state["split"]
@@ -230,11 +234,11 @@ def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text:
     names = [f"k{k}" for k in range(len(keep))]
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text}`").cast("string").alias("__text"))
     ddl = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rows.schema.fields, strict=False)]
-    made = rows.mapInArrow(run, ", ".join([*ddl, *(f"{n} {_OUTPUTS[n][0]}" for n in outputs)]))
+    made = arrow_map(rows, run, ", ".join([*ddl, *(f"{n} {_OUTPUTS[n][0]}" for n in outputs)]))
     return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *outputs)
 
 
-def _parts(texts: list[str], most: int = 24_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` characters, a longer one alone."""
     lo, held = 0, 0
     for k, t in enumerate(texts):
@@ -253,8 +257,6 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: st
         tokens[r] = t
     shared = df.sparkSession.sparkContext.broadcast(tokens)
 
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def decode(column: pd.Series) -> pd.Series:
         table = shared.value
