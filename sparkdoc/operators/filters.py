@@ -1,4 +1,4 @@
-"""Filter documents, lowered to one boolean column that is never null.
+"""Filter documents, lowered to one boolean column; null counts as false (negations make it so).
 
 A condition on a path holds if any candidate satisfies it: the value, or a member where the value is an array; paths fan
 out over arrays on the way. Null and missing coincide in typed columns: null satisfies `$lt` and `$lte` (null is less
@@ -125,7 +125,7 @@ def _flags(pattern: re.Pattern) -> str:
 
 
 def _pattern(pattern: str, options: str) -> Test:
-    return lambda e: F.coalesce(matches(e.col, pattern, options), F.lit(False)) if is_string(e.type) else F.lit(False)
+    return lambda e: matches(e.col, pattern, options) if is_string(e.type) else F.lit(False)
 
 
 def _membership(operand: Any, op: str) -> Test:

@@ -269,7 +269,7 @@ def _pull(own: E | None, arg: Any, u: Update) -> Any:
                 out = out & F.coalesce(field_condition(x, op, v, u.scope, arg), F.lit(False))
             return out
         if isinstance(arg, dict) and isinstance(kind, T.StructType):
-            return compile_filter(arg, Scope(fields_of(x)))
+            return F.coalesce(compile_filter(arg, Scope(fields_of(x))), F.lit(False))
         return F.coalesce(field_condition(x, "$eq", arg, u.scope), F.lit(False))
 
     return E(F.filter(own.col, lambda x: ~hit(E(x, kind))), own.type)

@@ -303,7 +303,7 @@ class Collection:
 
     def _condition(self, df: DataFrame, filter: dict, one: bool, sort_by: Any = None) -> tuple[DataFrame, Column]:  # noqa: A002
         """(df, whether a row is to be written): all that match, or the first."""
-        test = compile_filter(filter, Scope.of(df.schema))
+        test = F.coalesce(compile_filter(filter, Scope.of(df.schema)), F.lit(False))
         if not one:
             return df, test
         if "_id" not in df.columns:
