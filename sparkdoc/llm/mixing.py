@@ -20,7 +20,7 @@ from .hypergeometric import multivariate
 from .util import cut
 
 #: Documents that a block holds, about; the most blocks of a source.
-DOCS_PER_BLOCK, MOST_BLOCKS = 1024, 8192
+DOCS_PER_BLOCK, MOST_BLOCKS = 64, 8192
 
 WORD = r"[^\x20\x09-\x0D]+"
 
