@@ -131,6 +131,8 @@ def _strict(name: str, target: str) -> None:
         e = arguments(spec, scope, name, 1, 1)[0]
         if is_null(e.type):
             return E(F.lit(None).cast(kind), kind)
+        if isinstance(e.type, T.VariantType):
+            return E(F.variant_get(e.col, "$", kind.simpleString()), kind)
         made = convert(e)
         failed = F.when(e.col.isNotNull(), F.raise_error(F.lit(f"{name} cannot convert the value"))).cast(kind)
         return E(made if target in ("bool", "string") else F.coalesce(made, failed), kind)

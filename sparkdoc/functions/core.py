@@ -205,11 +205,20 @@ def array(e: E, op: str) -> E:
     return e
 
 
+def from_variant(e: E, like: T.DataType) -> E:
+    """A variant as the kind of value that `like` is; null where it holds another kind."""
+    if not isinstance(e.type, T.VariantType):
+        return e
+    kind = DOUBLE if is_number(like) else STRING if is_string(like) else BOOL if isinstance(like, T.BooleanType) else DATE if is_date(like) else like
+    return E(F.try_variant_get(e.col, "$", kind.simpleString()), kind)
+
+
 # --- comparison ------------------------------------------------------------------------------------------------------
 
 
 def equal(a: E, b: E) -> Column:
     """Equality that is never null: null equals null, NaN equals NaN, values of different kinds differ."""
+    a, b = from_variant(a, b.type), from_variant(b, a.type)
     if is_null(a.type) or is_null(b.type) or rank(a.type) != rank(b.type):
         return a.col.isNull() & b.col.isNull()
     if is_array(a.type) and a.type != b.type and rank(_element(a)) != rank(_element(b)) and 1 not in (rank(_element(a)), rank(_element(b))):
@@ -227,6 +236,7 @@ def _element(e: E) -> T.DataType:
 
 def less(a: E, b: E) -> Column:
     """a before b in the total order: null first, then by kind; NaN is the smallest number."""
+    a, b = from_variant(a, b.type), from_variant(b, a.type)
     if is_null(b.type):
         return F.lit(False)
     if is_null(a.type):

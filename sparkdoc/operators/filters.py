@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError, UnsupportedOperator
-from ..functions.core import E, Scope, alias_of, equal, is_array, is_float, is_int, is_null, is_number, is_object, is_string, less, literal, rank, step, truthy, value
+from ..functions.core import E, Scope, alias_of, equal, from_variant, is_array, is_float, is_int, is_null, is_number, is_object, is_string, less, literal, rank, step, truthy, value
 from ..functions.strings import matches
 from . import geo
 
@@ -77,6 +77,7 @@ class Field:
 
 def _comparison(op: str, target: E) -> Test:
     def test(e: E) -> Column:
+        e = e if is_null(target.type) else from_variant(e, target.type)
         if is_null(e.type):
             # a missing field compares like null
             if op in ("$gte", "$lte") and is_null(target.type):
@@ -111,6 +112,7 @@ def _equality(operand: Any) -> Test:
     def test(e: E) -> Column:
         if is_null(target.type):
             return e.col.isNull()
+        e = from_variant(e, target.type)
         if is_null(e.type):
             return F.lit(False)
         if rank(e.type) == rank(target.type) and not is_array(e.type) and not is_object(e.type):

@@ -95,7 +95,21 @@ def geo_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db["places"].aggregate([{"$geoNear": {"near": [3, 1], "key": "at", "distanceField": "d", "maxDistance": 6, "query": {"_id": {"$ne": 3}}}}, {"$project": {"d": {"$round": ["$d", 6]}}}])
 
 
+def dynamic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a schema: one variant column, paths resolved at run time."""
+    db = database(spark, sf_dir)
+    db.register("loose", db.tables["events"].selectExpr("event_id AS _id", "parse_json(props) AS doc"))
+    return db["loose"].aggregate([{"$match": {"doc.k": {"$gte": 50}, "doc.none": None}}, {"$project": {"k": {"$toLong": "$doc.k"}}}])
+
+
+def text_score_order(docs: Collection) -> DataFrame:
+    docs.create_index({"text": "text"})
+    return docs.aggregate([{"$match": {"$text": {"$search": "the thing"}}}, {"$sort": {"score": {"$meta": "textScore"}, "doc_id": 1}}, {"$limit": 15}, {"$project": {"doc_id": 1, "score": {"$meta": "textScore"}}}])
+
+
 QUERIES = {
+    "dynamic_match": (dynamic_match, "SELECT event_id AS _id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50"),
+    "sort_text_score": (c("documents", text_score_order), f"{TOKENS} SELECT doc_id, CAST({count_of('thing')} + {count_of('the')} AS DOUBLE) AS score FROM d WHERE {count_of('thing')} + {count_of('the')} > 0 ORDER BY score DESC, doc_id LIMIT 15"),
     "find": (c("orders", lambda o: o.find({"o_orderstatus": "P"}, {"o_orderkey": 1, "o_totalprice": 1}, [("o_totalprice", -1), ("o_orderkey", 1)], skip=5, limit=30)), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 5"),
     "find_collation": (c("part", lambda p: p.find({"p_brand": "brand#11"}, {"p_partkey": 1}, collation={"locale": "en", "strength": 2})), "SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#11'"),
     "distinct": (c("customer", lambda x: x.distinct("c_mktsegment", {"c_acctbal": {"$gt": 0}})), "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_acctbal > 0"),

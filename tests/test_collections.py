@@ -107,3 +107,44 @@ def test_windowed_stream(spark, tmp_path):
     assert windowed_counts(stream, "ts", "1 minute", "0 seconds", "k").isStreaming
     batch = windowed_counts(spark.read.parquet(str(tmp_path / "in")), "ts", "1 minute", "0 seconds", "k")
     assert batch.count() == 10
+
+
+def test_transactions(db):
+    from sparkdoc.sources.sessions import Conflict, Session
+
+    s = Session(db)
+    staged = s.start_transaction()
+    staged["c"].delete_many({"_id": 1})
+    assert staged["c"].count_documents({}) == 2 and db["c"].count_documents({}) == 3
+    s.commit_transaction()
+    assert db["c"].count_documents({}) == 2
+    staged = s.start_transaction()
+    staged["c"].delete_many({})
+    s.abort_transaction()
+    assert db["c"].count_documents({}) == 2
+    staged = s.start_transaction()
+    staged["c"].delete_many({"_id": 2})
+    db["c"].insert_one({"_id": 77, "a": 1})
+    with pytest.raises(Conflict):
+        s.commit_transaction()
+    s.with_transaction(lambda t: t["c"].update_many({}, {"$set": {"a": 4}}))
+    assert db["c"].count_documents({"a": 4}) == 3
+
+
+def test_deadline(spark):
+    from sparkdoc.sources.sessions import deadline
+
+    with deadline(spark, 60_000):
+        assert spark.range(5).count() == 5
+    with pytest.raises(Exception, match="cancel"), deadline(spark, 300):
+        spark.range(10**12).selectExpr("sum(hash(id))").collect()
+
+
+def test_documents_without_schema(spark, tmp_path):
+    from sparkdoc.sources.collection import Database
+    from sparkdoc.sources.tables import documents_of
+
+    (tmp_path / "x.json").write_text('{"a": {"b": 3}, "s": "x"}\n{"a": {"b": "text"}}\n{"a": 1.5}\n')
+    c = Database(spark).register("v", documents_of(spark, str(tmp_path / "x.json")))
+    assert c.count_documents({"doc.a.b": 3}) == 1 and c.count_documents({"doc.a.b": {"$gt": 2}}) == 1 and c.count_documents({"doc.s": "x"}) == 1
+    assert [r.b for r in c.aggregate([{"$match": {"doc.s": "x"}}, {"$project": {"b": {"$toLong": "$doc.a.b"}}}]).collect()] == [3]
