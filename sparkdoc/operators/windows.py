@@ -11,7 +11,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import QueryError, UnsupportedOperator
 from ..functions.arith import millis

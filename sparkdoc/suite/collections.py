@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,7 +85,7 @@ def stream_match_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = transformed(events, [{"$match": {"value": {"$gt": 50}}}, {"$project": {"event_id": 1, "twice": {"$multiply": ["$value", 2]}}}], spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkdoc-")
     name = f"stream_{abs(hash(sf_dir)) % 10**8}"
-    query = made.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-{__import__('uuid').uuid4().hex}").trigger(availableNow=True).start()
+    query = made.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 

@@ -40,7 +40,7 @@ QUERIES = {
     "expr_bits": e("part", "p_partkey", ({"$bitAnd": [P, 12]}, "p_partkey & 12"), ({"$bitOr": [P, 12]}, "p_partkey | 12"), ({"$bitXor": [P, 12]}, "xor(p_partkey, 12)"), ({"$bitNot": P}, "~p_partkey")),
     "expr_rand": (pipeline_query("region", [{"$project": {"k": "$r_regionkey", "x": {"$let": {"vars": {"v": {"$rand": {}}}, "in": {"$and": [{"$gte": ["$$v", 0]}, {"$lt": ["$$v", 1]}]}}}}}]), "SELECT r_regionkey AS k, true AS x FROM region"),
     "expr_compare": e("part", "p_partkey", ({"$eq": [O, 10]}, "p_size = 10"), ({"$ne": [O, 10]}, "p_size <> 10"), ({"$gt": [O, 10]}, "p_size > 10"), ({"$gte": [O, 10]}, "p_size >= 10"), ({"$lt": [O, 10]}, "p_size < 10"), ({"$lte": [O, 10]}, "p_size <= 10"), ({"$cmp": [O, 10]}, big("sign(p_size - 10)")), ({"$gt": [N, O]}, "true"), ({"$gt": [O, None]}, "true")),
-    "expr_logic": e("part", "p_partkey", ({"$and": [{"$gt": [O, 10]}, {"$lt": [P, 100]}]}, "p_size > 10 AND p_partkey < 100"), ({"$or": [{"$gt": [O, 40]}, {"$mod": [P, 2]}]}, "p_size > 40 OR p_partkey % 2 <> 0"), ({"$in": [O, [1, 2, 3]]}, "p_size IN (1, 2, 3)"), ({"$nin": [O, [1, 2]]} if False else {"$nin": ["$p_size", [1, 2]]}, "p_size NOT IN (1, 2)"), ({"$exists": ["$p_size", True]}, "true")),
+    "expr_logic": e("part", "p_partkey", ({"$and": [{"$gt": [O, 10]}, {"$lt": [P, 100]}]}, "p_size > 10 AND p_partkey < 100"), ({"$or": [{"$gt": [O, 40]}, {"$mod": [P, 2]}]}, "p_size > 40 OR p_partkey % 2 <> 0"), ({"$in": [O, [1, 2, 3]]}, "p_size IN (1, 2, 3)"), ({"$nin": ["$p_size", [1, 2]]}, "p_size NOT IN (1, 2)"), ({"$exists": ["$p_size", True]}, "true")),
     "expr_conditions": e("part", "p_partkey", ({"$cond": [{"$gt": [O, 25]}, "big", "small"]}, "CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END"), ({"$cond": {"if": O, "then": 1, "else": 0}}, big("1")), ({"$ifNull": ["$none", O]}, "p_size"), ({"$switch": {"branches": [{"case": {"$lt": [O, 10]}, "then": 1}, {"case": {"$lt": [O, 30]}, "then": 2}], "default": 3}}, big("CASE WHEN p_size < 10 THEN 1 WHEN p_size < 30 THEN 2 ELSE 3 END")), ({"$let": {"vars": {"a": O, "b": 2}, "in": {"$multiply": ["$$a", "$$b"]}}}, big("p_size * 2")), ({"$literal": "$x"}, "'$x'")),
     "expr_strings": e("part", "p_partkey", ({"$concat": [N, "-", "$p_brand"]}, "p_name || '-' || p_brand"), ({"$toUpper": N}, "upper(p_name)"), ({"$toLower": "$p_type"}, "lower(p_type)"), ({"$strLenCP": N}, "length(p_name)"), ({"$strLenBytes": N}, big("strlen(p_name)")), ({"$substrCP": [N, 1, 3]}, "substr(p_name, 2, 3)"), ({"$substrBytes": [N, 2, -1]}, "substr(p_name, 3)"), ({"$strcasecmp": [N, "Part#0000001"]}, big("CASE WHEN lower(p_name) < 'part#0000001' THEN -1 WHEN lower(p_name) > 'part#0000001' THEN 1 ELSE 0 END"))),
     "expr_string_search": e("part", "p_partkey", ({"$indexOfCP": [N, "0"]}, big("instr(p_name, '0') - 1")), ({"$indexOfBytes": [N, "1"]}, big("instr(p_name, '1') - 1")), ({"$split": ["$p_type", " "]}, "string_split(p_type, ' ')"), ({"$replaceOne": {"input": N, "find": "0", "replacement": "o"}}, "CASE WHEN instr(p_name, '0') > 0 THEN substr(p_name, 1, instr(p_name, '0') - 1) || 'o' || substr(p_name, instr(p_name, '0') + 1) ELSE p_name END"), ({"$replaceAll": {"input": N, "find": "0", "replacement": "oo"}}, "replace(p_name, '0', 'oo')"), ({"$trim": {"input": {"$concat": ["  ", N, " "]}}}, "p_name"), ({"$ltrim": {"input": {"$concat": ["xx", N]}, "chars": "x"}}, "ltrim('xx' || p_name, 'x')"), ({"$rtrim": {"input": {"$concat": [N, "yy"]}, "chars": "y"}}, "rtrim(p_name || 'yy', 'y')")),
@@ -48,7 +48,7 @@ QUERIES = {
     "expr_arrays": e("part", "p_partkey", ({"$size": A}, big(f"len({A_SQL})")), ({"$arrayElemAt": [A, 1]}, f"{A_SQL}[2]"), ({"$arrayElemAt": [A, -1]}, f"{A_SQL}[-1]"), ({"$first": A}, f"{A_SQL}[1]"), ({"$firstN": {"input": A, "n": 2}}, f"{A_SQL}[1:2]"), ({"$lastN": {"input": A, "n": 2}}, f"{A_SQL}[-2:]"), ({"$maxN": {"input": A, "n": 2}}, f"list_reverse_sort({A_SQL})[1:2]"), ({"$minN": {"input": A, "n": 2}}, f"{A_SQL}[1:2]"), ({"$slice": [A, 1, 2]}, f"{A_SQL}[2:3]"), ({"$slice": [A, -2]}, f"{A_SQL}[-2:]"), ({"$concatArrays": [A, [9]]}, f"list_concat({A_SQL}, [9])"), ({"$reverseArray": A}, f"list_reverse({A_SQL})"), ({"$isArray": [A]}, "true"), ({"$isArray": [O]}, "false"), ({"$indexOfArray": [A, 3]}, big(f"coalesce(list_position({A_SQL}, 3), 0) - 1")), ({"$in": [2, A]}, f"list_contains({A_SQL}, 2)")),
     "expr_higher_order": e("part", "p_partkey", ({"$map": {"input": A, "as": "v", "in": {"$multiply": ["$$v", 2]}}}, f"list_transform({A_SQL}, lambda v: v * 2)"), ({"$filter": {"input": A, "cond": {"$gt": ["$$this", 2]}}}, f"list_filter({A_SQL}, lambda v: v > 2)"), ({"$reduce": {"input": A, "initialValue": 100, "in": {"$add": ["$$value", "$$this"]}}}, big(f"100 + coalesce(list_sum({A_SQL}), 0)")), ({"$sortArray": {"input": A, "sortBy": -1}}, f"list_reverse_sort({A_SQL})"), ({"$map": {"input": {"$zip": {"inputs": [A, A]}}, "in": {"$sum": "$$this"}}}, f"list_transform({A_SQL}, lambda v: v * 2)"), ({"$allElementsTrue": [A]}, "p_size % 7 = 0"), ({"$anyElementTrue": [A]}, "p_size % 7 > 1"), ({"$range": [10, 0, -4]}, "range(10, 0, -4)")),
     "expr_sets": e("part", "p_partkey", ({"$setUnion": [A, [2, 50]]}, f"CASE WHEN p_size % 7 > 2 THEN list_concat({A_SQL}, [50]) ELSE list_concat({A_SQL}, [2, 50]) END"), ({"$setIntersection": [A, [2, 3]]}, f"list_filter({A_SQL}, lambda v: v IN (2, 3))"), ({"$setDifference": [A, [2, 3]]}, f"list_filter({A_SQL}, lambda v: v NOT IN (2, 3))"), ({"$setEquals": [A, [0, 1]]}, "p_size % 7 = 2"), ({"$setIsSubset": [[0, 1], A]}, "p_size % 7 >= 2")),
-    "expr_objects": e("part", "p_partkey", ({"$getField": {"field": "b", "input": {"$mergeObjects": [{"a": O, "b": 1}, {"b": P}]}}}, "p_partkey"), ({"$getField": {"field": "z", "input": {"$setField": {"field": "z", "input": {"a": O}, "value": N}}}}, "p_name"), ({"$map": {"input": {"$objectToArray": {"a": O, "b": P}}, "in": "$$this.k"}}, "['a', 'b']"), ({"$getField": {"field": "k1", "input": {"$arrayToObject": [[["k1", "x"], ["k2", N]]]}}} if False else {"$size": {"$objectToArray": {"$unsetField": {"field": "a", "input": {"a": O, "b": P}}}}}, big("1")), ({"$bsonSize": {"a": P}}, big("16")), ({"$binarySize": N}, big("strlen(p_name)"))),
+    "expr_objects": e("part", "p_partkey", ({"$getField": {"field": "b", "input": {"$mergeObjects": [{"a": O, "b": 1}, {"b": P}]}}}, "p_partkey"), ({"$getField": {"field": "z", "input": {"$setField": {"field": "z", "input": {"a": O}, "value": N}}}}, "p_name"), ({"$map": {"input": {"$objectToArray": {"a": O, "b": P}}, "in": "$$this.k"}}, "['a', 'b']"), ({"$size": {"$objectToArray": {"$unsetField": {"field": "a", "input": {"a": O, "b": P}}}}}, big("1")), ({"$bsonSize": {"a": P}}, big("16")), ({"$binarySize": N}, big("strlen(p_name)"))),
     "expr_array_to_object": e("part", "p_partkey", ({"$getField": {"field": "x", "input": {"$arrayToObject": {"$map": {"input": ["x", "y"], "in": {"k": "$$this", "v": N}}}}}}, "p_name")),
     "expr_types": e("part", "p_partkey", ({"$type": O}, "'int'"), ({"$type": P}, "'long'"), ({"$type": N}, "'string'"), ({"$type": "$none"}, "'missing'"), ({"$isNumber": O}, "true"), ({"$isNumber": N}, "false")),
     "expr_convert": e("part", "p_partkey", ({"$toString": O}, "CAST(p_size AS VARCHAR)"), ({"$toInt": "$p_retailprice"}, "CAST(trunc(p_retailprice) AS INTEGER)"), ({"$toLong": {"$toString": P}}, "p_partkey"), ({"$toDouble": P}, "CAST(p_partkey AS DOUBLE)"), ({"$toBool": {"$mod": [P, 2]}}, "p_partkey % 2 <> 0"), ({"$toDecimal": O}, "CAST(p_size AS DECIMAL(38, 18))"), ({"$convert": {"input": N, "to": "int", "onError": -1}}, big("-1")), ({"$convert": {"input": None, "to": "int", "onNull": 7}}, big("7")), ({"$toDate": {"$multiply": [P, 1000]}}, "make_timestamp(p_partkey * 1000000)"), ({"$toObjectId": "0123456789ABCDEF01234567"}, "'0123456789abcdef01234567'"), ({"$toUUID": "00112233445566778899aabbccddeeff"}, "'00112233-4455-6677-8899-aabbccddeeff'")),

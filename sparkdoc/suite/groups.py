@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from . import pipeline_query as q
 
 G = "$l_returnflag"
@@ -32,7 +34,7 @@ def ordered(what: str, desc: bool = False) -> str:
 
 QUERIES = {
     "pricing_summary": (
-        q("lineitem", [{"$match": {"l_shipdate": {"$lte": __import__("datetime").datetime(1998, 9, 2)}}}, {"$group": {"_id": {"rf": "$l_returnflag", "ls": "$l_linestatus"}, "sum_qty": {"$sum": "$l_quantity"}, "revenue": {"$sum": {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}}, "avg_disc": {"$avg": "$l_discount"}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "rf": "$_id.rf", "ls": "$_id.ls", "sum_qty": 1, "revenue": r("revenue", 2), "avg_disc": r("avg_disc", 6), "n": 1}}, {"$sort": {"rf": 1, "ls": 1}}]),
+        q("lineitem", [{"$match": {"l_shipdate": {"$lte": datetime.datetime(1998, 9, 2)}}}, {"$group": {"_id": {"rf": "$l_returnflag", "ls": "$l_linestatus"}, "sum_qty": {"$sum": "$l_quantity"}, "revenue": {"$sum": {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}}, "avg_disc": {"$avg": "$l_discount"}, "n": {"$sum": 1}}}, {"$project": {"_id": 0, "rf": "$_id.rf", "ls": "$_id.ls", "sum_qty": 1, "revenue": r("revenue", 2), "avg_disc": r("avg_disc", 6), "n": 1}}, {"$sort": {"rf": 1, "ls": 1}}]),
         "SELECT l_returnflag AS rf, l_linestatus AS ls, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     ),
     "group_sum": g({"x": {"$sum": "$l_quantity"}}, "sum(l_quantity) AS x"),
