@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textnp import hash_runs, lower_ascii, words
-from .util import arrow_map, chunks, flat, long_of
+from .util import arrow_map, chunks, flat
 
 #: Hashed features; labelled documents of either label that training may use at most; a word needs so many of them;
 #: passes over them.
