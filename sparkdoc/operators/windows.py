@@ -71,16 +71,17 @@ class Frames:
         return self.plain.orderBy(F.col(quote(self.keys[0].name)).asc()).rangeBetween(_bound(bounds[0], True), _bound(bounds[1], False))
 
 
-def set_window_fields(df: DataFrame, spec: Any, scope: Scope, ties: list[Key]) -> DataFrame:
-    """The stage on typed columns. `ties`: the document order behind the sort keys."""
+def set_window_fields(df: DataFrame, spec: Any, scope: Scope, ties: list[Key], within: tuple[str, ...] = ()) -> DataFrame:
+    """The stage on typed columns. `ties`: the document order behind the sort keys; `within`: hidden columns that
+    partition the documents before partitionBy does."""
     named(spec, "$setWindowFields", ("output",), ("partitionBy", "sortBy"))
     if not isinstance(spec["output"], dict) or not spec["output"]:
         raise QueryError("$setWindowFields needs an output")
     extra: dict[str, E] = {}
-    parts = []
+    parts = list(within)
     if spec.get("partitionBy") is not None:
         extra["__sd_p0"] = concrete(value(spec["partitionBy"], scope))
-        parts = ["__sd_p0"]
+        parts.append("__sd_p0")
     keys: list[Key] = []
     for i, (path, direction) in enumerate((spec.get("sortBy") or {}).items()):
         if direction not in (1, -1) or isinstance(direction, bool):

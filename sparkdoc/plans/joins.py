@@ -75,6 +75,22 @@ def lookup(flow: Flow, spec: Any, observed: bool) -> Flow:
     return flow.on(put(flow, joined, spec["as"], E(F.col("__sd_as"), T.ArrayType(docs.type))).drop("__sd_as"), ordered=False)
 
 
+def when_empty(flow: Flow, foreign: DataFrame, pipeline: list, docs: E, variables: dict[str, E]) -> DataFrame | None:
+    """What a pipeline makes of no documents, as one row `__sd_none`; None if that is nothing."""
+    if not any(single(s)[0] == "$count" for s in pipeline):
+        return None
+    nothing = {n: E(F.lit(None).cast(e.type), e.type) for n, e in variables.items()}
+    made = execute(pipeline, Flow(foreign.where("false"), replace(flow.context, variables=nothing)))
+    return made.df.agg(F.coalesce(F.collect_list(document(made.df).col), F.array().cast(T.ArrayType(docs.type))).alias("__sd_none"))
+
+
+def or_empty(df: DataFrame, array: str, kind: T.DataType, none: DataFrame | None) -> tuple[DataFrame, Column]:
+    """(df, the collected array where there is one, else what no documents give)."""
+    if none is None:
+        return df, F.coalesce(F.col(array), F.array().cast(kind))
+    return df.join(F.broadcast(none), how="cross"), F.coalesce(F.col(array), F.col("__sd_none"))  # one row
+
+
 def _members(e: E) -> tuple[Column, T.DataType, bool]:
     """Keys that a value joins by: an array's distinct members (null if there are none), or the value."""
     if isinstance(e.type, T.ArrayType):
@@ -105,7 +121,8 @@ def _by_key(flow: Flow, spec: dict, foreign: DataFrame, pipeline: list) -> Flow:
     if not local_many:
         left = flow.df.withColumn(lk_name, local_keys)
         joined = left.join(lists, equal(E(F.col(lk_name), local_type), fk), "left")
-        done = put(flow, joined, spec["as"], E(F.coalesce(as_name, empty), kind)).drop(as_name, lk_name, fk_name)
+        joined, array = or_empty(joined, as_name, kind, when_empty(flow, foreign, pipeline, docs, {}))
+        done = put(flow, joined, spec["as"], E(array, kind)).drop(as_name, lk_name, fk_name, "__sd_none")
     else:
         # any member may match: the arrays of all members, each foreign document once
         keys = flow.df.select(local.col.alias(la_name)).distinct().withColumn(lk_name, F.explode_outer(F.when(F.size(la_name) > 0, F.array_distinct(la_name))))
@@ -147,8 +164,9 @@ def _by_variables(flow: Flow, spec: dict, foreign: DataFrame, pipeline: list, le
         back = back & F.col(v).eqNullSafe(F.col(f"{v}r"))
     joined = left.join(lists, back, "left")
     kind = T.ArrayType(docs.type)
-    done = put(flow, joined, spec["as"], E(F.coalesce(as_name, F.array().cast(kind)), kind))
-    done = done.drop(as_name, *names.values(), *[f"{v}r" for v in names.values()])
+    joined, array = or_empty(joined, as_name, kind, when_empty(flow, foreign, rest, docs, variables))
+    done = put(flow, joined, spec["as"], E(array, kind))
+    done = done.drop("__sd_none", as_name, *names.values(), *[f"{v}r" for v in names.values()])
     if spec.get("__unwind") is not None:
         from .pipeline import unwind
 

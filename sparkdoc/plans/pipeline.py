@@ -127,6 +127,8 @@ def execute(pipeline: list, flow: Flow) -> Flow:
         flow = flow.on(flow.df.withColumn(ORDINAL, F.monotonically_increasing_id()), ties=(Key(ORDINAL, LONG),), ordered=not flow.within)
     for k, spec in enumerate(todo):
         name, body = single(spec)
+        if flow.within and name in NOT_WITHIN:
+            raise QueryError(f"{name} is not supported in the pipeline of a correlated $lookup")
         if name in stages:
             flow = stages[name](flow, body, observes_order(todo[k + 1 :]))
         elif name in extensions:
@@ -136,6 +138,9 @@ def execute(pipeline: list, flow: Flow) -> Flow:
     return flow
 
 
+#: Stages that cannot run for each combination of a lookup's variables.
+NOT_WITHIN = ("$bucket", "$facet", "$densify", "$fill", "$sample", "$geoNear", "$unionWith")
+
 FIRST = ("$documents", "$search", "$searchMeta", "$vectorSearch", "$geoNear", "$collStats", "$indexStats", "$currentOp", "$planCacheStats", "$listSessions")
 
 
@@ -421,7 +426,7 @@ def bucket_auto(flow: Flow, spec: Any, observed: bool) -> Flow:
 
 @stage("$setWindowFields")
 def window_fields(flow: Flow, spec: Any, observed: bool) -> Flow:
-    return flow.on(set_window_fields(flow.df, spec, flow.scope, list(flow.ties)), ordered=False)
+    return flow.on(set_window_fields(flow.df, spec, flow.scope, list(flow.ties), flow.within), ordered=False)
 
 
 @stage("$densify")
