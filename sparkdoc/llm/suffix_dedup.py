@@ -438,7 +438,8 @@ def find_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "t
     ids, body = F.col(f"`{id_column}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     sums = cut(documents.select(ids.alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")))
     named = sums.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
-    first = named.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep"))
+    # a table of its own: a join of two plain exchanges, of which Spark can split a class of copies of any size
+    first = cut(named.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep")))
     reps, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     wanted = Bits(reps).fill(first.select("rep"))
     spans = removed_spans(_texts(documents, id_column, text), wanted, total, length, gram)
