@@ -1,16 +1,19 @@
 """`$setWindowFields`, lowered to window functions over hidden operand columns.
 
 Partitions are Spark window partitions. Without partitionBy a window spans the whole input, which Spark can only run in
-one task; that is what such a query asks for. `$expMovingAvg` folds each partition's ordered values once (linear, on the
-JVM) instead of once a row.
+one task; that is what such a query asks for. `$expMovingAvg` carries its state over the sorted rows of a partition in one
+pass, without gathering them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..errors import QueryError, UnsupportedOperator
 from ..functions.arith import millis
@@ -119,7 +122,7 @@ def set_window_fields(df: DataFrame, spec: Any, scope: Scope, ties: list[Key], w
     if numbered:
         wide_df = wide_df.withColumn("__sd_rn", F.row_number().over(frames.ordered))
     if averages:
-        wide_df = _moving_averages(wide_df, averages, parts, order)
+        wide_df = _moving_averages(wide_df, averages, frames.ordered)
     tree = tree_of({n: made[n] for n in spec["output"]})
     fields = dict(scope.fields)
     hidden_names = {n: f"__sd_o{i}" for i, n in enumerate(made)}
@@ -197,25 +200,29 @@ def _exp_moving_avg(arg: Any, scope: Scope, prefix: str, extra: dict, frames: Fr
     return E(F.col(f"{prefix}ema"), DOUBLE)
 
 
-def _moving_averages(df: DataFrame, averages: dict[str, tuple[str, float]], parts: list[str], order: Order) -> DataFrame:
-    """One fold over each partition's rows in order; the rows come back with the averages attached."""
-    rows = F.struct(*[F.col(quote(c)) for c in df.columns])
-    grouped = df.groupBy(*[F.col(quote(p)) for p in parts] or [F.lit(0).alias("__sd_all")]).agg(order.list(rows).alias("__sd_rows"))
-    for name, (source, alpha) in averages.items():
-        grouped = grouped.withColumn(name, _average("__sd_rows", source, alpha))
-    zipped = grouped.select(F.explode(F.arrays_zip("__sd_rows", *averages)).alias("__sd_z"))
-    return zipped.select("__sd_z.__sd_rows.*", *[F.col(f"__sd_z.{n}").alias(n) for n in averages])
-
-
-def _average(rows: str, source: str, alpha: float) -> Column:
-    start = F.struct(F.lit(None).cast(DOUBLE).alias("now"), F.array().cast("array<double>").alias("all"))
-
-    def fold(state: Column, row: Column) -> Column:
-        x = row[source]
-        now = F.when(x.isNull(), state["now"]).when(state["now"].isNull(), x).otherwise(x * F.lit(alpha) + state["now"] * F.lit(1 - alpha))
-        return F.struct(now.alias("now"), F.concat(state["all"], F.array(now)).alias("all"))
-
-    return F.aggregate(rows, start, fold)["all"]
+def _moving_averages(df: DataFrame, averages: dict[str, tuple[str, float]], ordered: WindowSpec) -> DataFrame:
+    """The rows with their averages attached, in one pass over the sorted partitions; memory is one Arrow batch."""
+    fields, sources = df.schema.fields, list(averages.values())
+    kinds = [*fields, *[StructField(n, DoubleType()) for n in averages]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[float | None] = [None] * len(sources)
+        for batch in batches:
+            first, columns = batch.column(len(fields)).to_pylist(), []
+            for k, (source, alpha) in enumerate(sources):
+                out, state = [], now[k]
+                for new, x in zip(first, batch.column(batch.schema.get_field_index(source)).to_pylist(), strict=True):
+                    if new:
+                        state = None
+                    if x is not None:
+                        state = x if state is None else x * alpha + state * (1 - alpha)
+                    out.append(state)
+                now[k] = state
+                columns.append(pa.array(out, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *columns], names=[f.name for f in kinds])
+
+    # the window leaves each of its partitions sorted and in one piece; __sd_new marks where one begins
+    return df.withColumn("__sd_new", F.row_number().over(ordered) == 1).mapInArrow(run, StructType(kinds))
 
 
 def _axis(frames: Frames, op: str) -> tuple[Column, bool]:

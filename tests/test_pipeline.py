@@ -135,3 +135,20 @@ def test_sort_skip_limit_against_python(spark, values, lo, n):
 def test_execute_needs_a_list(spark, tables):
     with pytest.raises(QueryError):
         execute({"$match": {}}, Flow(tables["d"], Context(spark, tables.__getitem__)))
+
+
+def test_moving_average_over_whole_partitions(spark):
+    n, alpha = 30_000, 0.25
+    rows = [(i, None if i % 11 == 0 else i % 3, None if i % 7 == 0 else float(i * 37 % 101)) for i in range(n)]
+    df = spark.createDataFrame(rows, "i long, g long, v double").repartition(6)
+    stage = {"$setWindowFields": {"partitionBy": "$g", "sortBy": {"i": 1}, "output": {"x": {"$expMovingAvg": {"input": "$v", "alpha": alpha}}, "y": {"$expMovingAvg": {"input": "$i", "N": 3}}}}}
+    got_df = run([stage, {"$project": {"i": 1, "x": 1, "y": 1}}], df, Context(spark, {}.__getitem__))
+    assert "collect_list" not in got_df._jdf.queryExecution().optimizedPlan().toString()
+    got, state = {r.i: (r.x, r.y) for r in got_df.collect()}, {}
+    assert len(got) == n
+    for i, g, v in rows:
+        x, y = state.get(g, (None, None))
+        x = x if v is None else v if x is None else v * alpha + x * (1 - alpha)
+        y = float(i) if y is None else i * 0.5 + y * 0.5
+        state[g] = x, y
+        assert got[i] == state[g]
