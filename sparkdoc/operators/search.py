@@ -382,16 +382,12 @@ def search_meta(df: DataFrame, spec: dict, definition: dict | None = None) -> Da
     body = {k: v for k, v in spec.items() if k not in ("index", "count", "facet", "highlight")}
     if facet and "operator" in facet:
         body = facet["operator"]
-    if not facet and not counted:
+    if not facet and counted is None:
         raise QueryError("$searchMeta takes count or facet")
     c = Compiler(df, Index.of(definition), Scope.of(df.schema))
     found = clause(body, c) if body else Clause(F.lit(True), F.lit(1.0))
     matched = c.df.withColumn("__sd_m", found.matched).where("__sd_m")
-    counted = counted or {"type": "lowerBound"}
-    most = counted.get("threshold", 1000)
-    rows = matched.limit(most) if counted.get("type", "lowerBound") == "lowerBound" else matched
-    kind = "total" if counted.get("type") == "total" else "lowerBound"
-    out = rows.agg(F.struct(F.count(F.lit(1)).alias(kind)).alias("count"))
+    out = matched.sparkSession.range(1) if counted is None else _count(matched, counted)
     if facet:
         facets = []
         for name, how in (facet.get("facets") or {"facet": facet}).items():
@@ -408,10 +404,23 @@ def search_meta(df: DataFrame, spec: dict, definition: dict | None = None) -> Da
             facets.append((name, listed.select(F.struct(F.transform("l", lambda x: F.struct(x["_id"].alias("_id"), x["count"].alias("count"))).alias("buckets")).alias(name))))
         for _, row in facets:
             out = out.join(F.broadcast(row), how="cross")  # one row each
-        out = out.select("count", F.struct(*[F.col(quote(n)) for n, _ in facets]).alias("facet"))
+        out = out.select(*([] if counted is None else ["count"]), F.struct(*[F.col(quote(n)) for n, _ in facets]).alias("facet"))
     return out
 
 
+def _count(matched: DataFrame, spec: dict) -> DataFrame:
+    """One row: all matches are counted; only a threshold that the caller gives caps the number, and the row says so."""
+    if not isinstance(spec, dict) or set(spec) - {"type", "threshold"} or spec.get("type", "total") not in ("total", "lowerBound"):
+        raise QueryError("count takes type (total or lowerBound) and threshold")
+    kind, most = spec.get("type", "total"), spec.get("threshold")
+    if most is None:
+        return matched.agg(F.struct(F.count(F.lit(1)).alias(kind), F.lit(True).alias("exact")).alias("count"))
+    if kind != "lowerBound" or not isinstance(most, int) or isinstance(most, bool) or most <= 0:
+        raise QueryError("threshold is a positive whole number for lowerBound")
+    n, limit = F.count(F.lit(1)), F.lit(most).cast("long")
+    return matched.agg(F.struct(F.least(n, limit).alias(kind), (n <= limit).alias("exact"), limit.alias("threshold"), (n > limit).alias("cappedByThreshold")).alias("count"))
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 
