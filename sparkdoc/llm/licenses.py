@@ -102,7 +102,8 @@ class Scanner:
             self.member[k, t] = True
 
     def stretches(self, hit: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-        """Disjoint stretches of the document that are dense in the template's words, with room at both ends."""
+        """Stretches of the document that windows dense in the template's words cover, with room at both ends; windows
+        that overlap, or whose room does, are one stretch."""
         need = max(1, int(np.ceil(self.density * length)))
         n = len(hit)
         total = np.concatenate(([0], np.cumsum(hit)))
@@ -110,18 +111,58 @@ class Scanner:
             return
         begin = np.flatnonzero(hit)
         dense = begin[total[np.minimum(begin + length, n)] - total[begin] >= need]
+        if not len(dense):
+            return
         room = length // 4
-        upto = 0
-        k = 0
-        while k < len(dense):
-            # of the windows that overlap the first dense one, take the one with the most words
-            rivals = dense[k : int(np.searchsorted(dense, dense[k] + length))]
-            counts = total[np.minimum(rivals + length, n)] - total[rivals]
-            at = int(rivals[int(counts.argmax())])
-            lo, hi = max(upto, at - room), min(n, at + length + room)
-            yield lo, hi
-            upto = at + length
-            k = int(np.searchsorted(dense, upto))
+        breaks = np.flatnonzero(np.diff(dense) > length + 2 * room)
+        for first, last in zip(dense[np.concatenate(([0], breaks + 1))].tolist(), dense[np.concatenate((breaks, [len(dense) - 1]))].tolist(), strict=True):
+            yield max(0, first - room), min(n, last + length + room)
+
+    def copies(self, text: list[int], template: list[int]) -> Iterator[list[tuple[int, int]]]:
+        """Alignments of the template that reach the coverage, disjoint: the best of all places first, then what is left
+        on either side of it.
+
+        Every word is tried as the start of a short and a long window. A window's words counted against the template's bound what
+        any alignment in it can match, so that the search goes down by bounds and stops below the best match.
+        """
+        length = len(template)
+        width, need = length + 2 * (length // 4), max(1, int(np.ceil(self.coverage * length - 1e-9)))
+        todo = [(0, len(text))]
+        while todo:
+            lo, hi = todo.pop()
+            starts = [x for x in self.bounds(text, template, lo, hi, width) if x[0] >= need]
+            starts.sort(key=lambda x: (-x[0], x[1]))
+            best: tuple | None = None
+            for bound, at in starts:
+                if best is not None and (bound < -best[0] or best[:2] == (-length, length)):
+                    break
+                for end in {min(hi, at + length), min(hi, at + width)}:
+                    matched = patience(text[at:end], template)
+                    if len(matched) >= need:
+                        key = -len(matched), matched[-1][0] - matched[0][0] + 1, at + matched[0][0]
+                        if best is None or key < best[:3]:
+                            best = (*key, [(at + p, q) for p, q in matched])
+            if best is not None:
+                yield best[3]
+                todo += [(lo, best[3][0][0]), (best[3][-1][0] + 1, hi)]
+
+    @staticmethod
+    def bounds(text: list[int], template: list[int], lo: int, hi: int, width: int) -> Iterator[tuple[int, int]]:
+        """(words that the window from there has in common with the template, repeats counted, start) for every start."""
+        spare = Counter(template)
+        known, end, common = set(template), lo, 0
+        for at in range(lo, hi):
+            while end < min(hi, at + width):
+                w = text[end]
+                if w in known:
+                    common += spare[w] > 0
+                    spare[w] -= 1
+                end += 1
+            yield common, at
+            w = text[at]
+            if w in known:
+                spare[w] += 1
+                common -= spare[w] > 0
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, first word, end word) of every stretch that holds a template."""
@@ -133,10 +174,8 @@ class Scanner:
         for k, template in enumerate(self.coded):
             hit = self.member[k, codes]
             for lo, hi in self.stretches(hit, len(template)):
-                matched = patience(codes[lo:hi].tolist(), template)
-                share = len(matched) / len(template)
-                if matched and share >= self.coverage:
-                    out.append((self.names[k], share, len(matched), lo + matched[0][0], lo + matched[-1][0] + 1))
+                for matched in self.copies(codes[lo:hi].tolist(), template):
+                    out.append((self.names[k], len(matched) / len(template), len(matched), lo + matched[0][0], lo + matched[-1][0] + 1))
         # longer matches first; a shorter template inside a stretch already explained is not reported again
         out.sort(key=lambda x: (-x[2], -x[1], x[3], x[0]))
         kept: list[tuple[str, float, int, int, int]] = []
