@@ -353,7 +353,9 @@ def _query_words(spec: Any) -> list[str]:
 
 def _highlights(c: Compiler, spec: dict, body: dict) -> Column:
     """Passages around the first hit of each text: path, passage, and the hits' places in it (in code points)."""
-    words, most, passages = frozenset(_query_words(body)), int(spec.get("maxChars", 120)), int(spec.get("maxNumPassages", 5))
+    words, most, passages = frozenset(_query_words(body)), int(spec.get("maxChars", 120)), spec.get("maxNumPassages")
+    if passages is not None and (not isinstance(passages, int) or isinstance(passages, bool) or passages <= 0):
+        raise QueryError("maxNumPassages is a positive whole number")
     kind = "array<struct<path:string,text:string,hits:array<struct<start:int,end:int>>>>"
     names = c.paths(spec.get("path"))
     columns = [m[0] for m in map(c.materialise, names) if m is not None]
@@ -367,7 +369,7 @@ def _highlights(c: Compiler, spec: dict, body: dict) -> Column:
             for name, texts in zip(shown, row, strict=True):
                 for text in texts:
                     hits = [m.span() for m in _WORD.finditer(text) if plain_tokens(m[0]) and plain_tokens(m[0])[0] in words]
-                    if hits and len(found) < passages:
+                    if hits and (passages is None or len(found) < passages):
                         lo = max(0, min(hits[0][0], len(text) - most))
                         found.append({"path": name, "text": text[lo : lo + most], "hits": [{"start": a - lo, "end": b - lo} for a, b in hits if b <= lo + most]})
             out.append(found)

@@ -23,3 +23,13 @@ def test_counts_are_whole(spark):
     for bad in ({"type": "other"}, {"type": "total", "threshold": 5}, {"type": "lowerBound", "threshold": 0}):
         with pytest.raises(QueryError):
             search.search_meta(df, {**every, "count": bad})
+
+
+def test_all_passages_are_shown(spark):
+    df = spark.createDataFrame([(1, [f"license number {k}" for k in range(9)], "a license too")], "_id long, t array<string>, u string")
+    query = {"text": {"query": "license", "path": ["t", "u"]}}
+    shown = lambda **how: search.search(df, {**query, "highlight": {"path": ["t", "u"], **how}}).first()["__meta_searchHighlights"]
+    assert [(h.path, h.text) for h in shown()] == [*[("t", f"license number {k}") for k in range(9)], ("u", "a license too")]
+    assert len(shown(maxNumPassages=3)) == 3
+    with pytest.raises(QueryError):
+        shown(maxNumPassages=0)
