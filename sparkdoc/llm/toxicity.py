@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textnp import hash_runs, lower_ascii, words
-from .util import arrow_map, chunks, flat
+from .util import arrow_map, chunks, flat, gather
 
-#: Hashed features; labelled documents of either label that training may use at most; a word needs so many of them;
-#: passes over them.
+#: Hashed features; labelled documents of either label that the gradient may use at most; labelled documents that a word
+#: needs; passes of the gradient.
 FEATURES, MOST_TRAINING, LEAST_DOCUMENTS, ROUNDS = 1 << 18, 2500, 3, 120
 
 #: Standard errors by which a word's log odds must favour toxic documents for it to be learned.
@@ -75,28 +75,47 @@ class Model:
         return -np.expm1(-np.bincount(b.document, self.sentences(b), n))
 
 
-def train(feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray, share: float | None = None, rounds: int = ROUNDS) -> Model:
+@dataclass
+class Counts:
+    """Labelled documents that hold each feature, toxic (hits) and clean (misses), and how many there are of both."""
+
+    hits: np.ndarray
+    misses: np.ndarray
+    toxic: int
+    clean: int
+
+
+def count_words(feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, toxic: np.ndarray) -> Counts:
+    pair = np.unique(document[sentence].astype(np.int64) * FEATURES + feature)
+    bad = toxic[pair // FEATURES]
+    hits, misses = (np.bincount(pair[x] % FEATURES, minlength=FEATURES) for x in (bad, ~bad))
+    return Counts(hits, misses, int(toxic.sum()), int((~toxic).sum()))
+
+
+def train(feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray, share: float | None = None, rounds: int = ROUNDS, counts: Counts | None = None) -> Model:
     """Full-batch training of the noisy-or likelihood: Adam with decoupled soft thresholding.
 
     `share` is that of toxic documents outside the sample (default: in it); documents weigh accordingly, rare classes
-    somewhat more. Words seen in fewer than LEAST_DOCUMENTS training documents stay at zero. Without labels of both
-    kinds the model scores near the one it saw (near 0 for none).
+    somewhat more. `counts` are those of all labelled documents (default: the sample's) and decide which words are
+    learned; words seen in fewer than LEAST_DOCUMENTS of them stay at zero. A learned word that the sample lacks gets the
+    weight with which a sentence of it alone is as toxic as the documents that hold it. Without labels of both kinds the
+    model scores near the one it saw (near 0 for none).
     """
     n, toxic = len(label), label.astype(bool)
     if not n or toxic.all() or not toxic.any():
         return Model(np.zeros(FEATURES, np.float32), 0.0 if n and toxic.all() else -20.0)
-    # a word counts once a sentence; documents that hold it decide whether it is learned
-    of_doc = document[sentence]
-    pair = np.unique(of_doc.astype(np.int64) * FEATURES + feature)
-    doc_count = np.bincount(pair % FEATURES, minlength=FEATURES)
+    # documents that hold a word decide whether it is learned
+    counts = counts or count_words(feature, sentence, document, toxic)
+    doc_count = counts.hits + counts.misses
     known = np.flatnonzero(doc_count >= LEAST_DOCUMENTS)
-    hits = np.bincount(pair[toxic[pair // FEATURES]] % FEATURES, minlength=FEATURES)[known]
-    in_docs, prior = doc_count[known], toxic.mean()
+    hits, misses, prior = counts.hits[known], counts.misses[known], counts.toxic / (counts.toxic + counts.clean)
     # only words that clearly favour toxic documents are learned: everything else would fit the sample's noise
-    odds = np.log((hits + 4 * prior) / (in_docs - hits + 4 * (1 - prior))) - np.log(prior / (1 - prior))
-    error = np.sqrt(1 / (hits + 4 * prior) + 1 / (in_docs - hits + 4 * (1 - prior)))
+    own = np.log((hits + 4 * prior) / (misses + 4 * (1 - prior)))
+    odds = own - np.log(prior / (1 - prior))
+    error = np.sqrt(1 / (hits + 4 * prior) + 1 / (misses + 4 * (1 - prior)))
     clear = odds > EVIDENCE * error
-    known, w = known[clear], odds[clear]
+    known, own, w = known[clear], own[clear], odds[clear]
+    prior = toxic.mean()
     column = np.full(FEATURES, -1, np.int64)
     column[known] = np.arange(len(known))
     use = column[feature] >= 0
@@ -119,6 +138,7 @@ def train(feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, label
         w = w - step[:-1]
         w = np.maximum(w - 0.02, 0)
         bias -= step[-1]
+    w = np.where(np.bincount(feat, minlength=len(w)) > 0, w, np.maximum(own - bias, 0))
     weights = np.zeros(FEATURES, np.float32)
     weights[known] = w
     return Model(weights, float(bias))
@@ -129,14 +149,18 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_TRAINING) -> Model:
-    """A model from the labelled documents outside the held-out fold, at most `most` of either label (by a hash of the id).
+    """A model from the labelled documents outside the held-out fold. Words are counted over all of them; the gradient uses
+    at most `most` of either label (by a hash of the id).
 
+    If a label has more than that, one join of ids brings the labels to the documents; the counts of FEATURES words are a
+    distributed sum of bounded size.
     Rows with a null id or label teach nothing; a document labelled twice counts as toxic if either label says so.
     """
     spark = documents.sparkSession
     lab = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
     by_label = dict(lab.groupBy("__y").count().collect())
     picks = [r for y in (1, 0) for r in lab.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most).collect()]
+    counts = _count_all(documents, lab, id_column, text) if max(by_label.values(), default=0) > most else None
     chosen = spark.createDataFrame([(r["__id"], r["__y"]) for r in picks], "__id long, __y int")  # 2 * most rows at most
     rows = documents.select(F.col(f"`{id_column}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__y")
 
@@ -164,7 +188,26 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     labels_found = np.array([r["y"] for r in found])
     everything = by_label.get(0, 0) + by_label.get(1, 0)
     del found
-    return train(np.concatenate(feature), np.concatenate(sentence), np.concatenate(document), labels_found, by_label.get(1, 0) / everything if everything else None)
+    return train(np.concatenate(feature), np.concatenate(sentence), np.concatenate(document), labels_found, by_label.get(1, 0) / everything if everything else None, counts=counts)
+
+
+def _count_all(documents: DataFrame, lab: DataFrame, id_column: str, text: str) -> Counts | None:
+    """Words of all labelled documents; None if they are not of both labels. Cells: hits, misses, then documents of both."""
+    texts = documents.select(F.col(f"`{id_column}`").alias("__id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
+    rows = texts.join(lab.hint("shuffle_hash"), "__id").select("__text", "__y")
+
+    def add(array: np.ndarray, batch: pa.RecordBatch) -> None:
+        raw, offsets = flat(batch.column(0))
+        toxic = batch.column(1).to_numpy().astype(bool)
+        for lo, hi in chunks(offsets, 2_000_000):
+            b = bags(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            found = count_words(b.feature, b.sentence, b.document, toxic[lo:hi])
+            array[:FEATURES] += found.hits
+            array[FEATURES:-2] += found.misses
+            array[-2:] += (found.toxic, found.clean)
+
+    cells = gather(rows, 2 * FEATURES + 2, "int64", add)
+    return Counts(cells[:FEATURES], cells[FEATURES:-2], int(cells[-2]), int(cells[-1])) if cells[-2:].all() else None
 
 
 def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
