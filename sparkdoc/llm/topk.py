@@ -3,7 +3,8 @@
 Vectors are integers after scaling. For Euclidean distance d, q.x = (|q|^2 + |x|^2 - d(q,x)^2) / 2, so a lower bound on
 the distance is an upper bound on the score. A table holds every vector's distances to many pivots; by the triangle
 inequality max over pivots of |d(q,p) - d(x,p)| bounds d(q,x) from below. Candidates are evaluated exactly in the order
-of their bounds and a query stops when its k-th score is above every bound that is left.
+of their bounds and a query stops when its k-th score is above every bound that is left. Where the bounds leave over a
+quarter of a block's candidates, as on vectors that are hardly clustered, a dense product with the block does the search.
 
 The pivots come from a bounded sample; the index holds every row, so the result is exact whatever they are.
 """
