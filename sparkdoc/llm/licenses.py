@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .util import arrow_map
 
-# Public license notices and texts.
+# Four one-line notices, the Apache header, and excerpts of the others: mit, isc and gpl-3.0-header end before
+# the public texts do.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
@@ -189,6 +190,7 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col
     """doc_id, n_licenses, license (the longest match's template, null if none), coverage, matched, first_word,
     end_word, and matches: all of them in the order of the text.
 
+    Coverage and end_word are those of the template, which for mit, isc and gpl-3.0-header is an excerpt of the licence.
     Whole texts are scanned. Null and empty texts have no license; a license given twice is found twice; repeated rows
     are scanned alike; other columns are not read. No shuffle; memory is one Arrow batch and one document.
     """
