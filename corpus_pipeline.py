@@ -32,8 +32,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows are in the order of their shard's shuffle within a partition."""
-    return mixing.mixed_documents(docs).sortWithinPartitions("__shard", "__order").select(*COLUMNS)
+    """Each document as often as the mix takes it. Partitions are ranges of (shard, order), so that the files, one after the
+    other, are the shuffled shards; a large shard spans several of them."""
+    return mixing.mixed_documents(docs).repartitionByRange("__shard", "__order").sortWithinPartitions("__shard", "__order").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
