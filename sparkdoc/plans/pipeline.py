@@ -39,6 +39,7 @@ class Context:
     metadata: Callable[[str, Any], DataFrame] | None = None
     search: Callable[[str, Any, DataFrame], DataFrame] | None = None
     text_paths: tuple[str, ...] = ()
+    text_weights: dict[str, float] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -160,7 +161,7 @@ def match(flow: Flow, spec: Any, observed: bool) -> Flow:
         from ..operators.search import classic_text
 
         rest = {k: v for k, v in spec.items() if k != "$text"}
-        flow = flow.on(classic_text(flow.df, spec["$text"], flow.context.text_paths))
+        flow = flow.on(classic_text(flow.df, spec["$text"], flow.context.text_paths, flow.context.text_weights))
         spec = rest
     return flow.on(flow.df.where(compile_filter(spec, flow.scope))) if spec else flow
 

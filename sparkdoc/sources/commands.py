@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import platform
 from typing import Any
 
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError, UnsupportedOperator
 
-_STATIC = ("ping", "hello", "isMaster", "ismaster", "buildInfo", "connectionStatus", "hostInfo", "serverStatus", "whatsmyuri", "getCmdLineOpts", "listCommands", "profile", "killOp", "currentOp")
+_STATIC = ("ping", "hello", "isMaster", "ismaster", "buildInfo", "connectionStatus", "hostInfo", "serverStatus", "whatsmyuri", "getCmdLineOpts", "listCommands", "currentOp")
+
+
+#: Documents of a first batch, unless a command names another number.
+BATCH = 101
 
 
 def _rows(df: Any) -> list[dict]:
@@ -17,7 +22,8 @@ def _rows(df: Any) -> list[dict]:
 
 
 def command(db: Any, spec: dict) -> dict:
-    """The reply to a command document; its first key names the command. Cursors come back whole, as a first batch."""
+    """The reply to a command document; its first key names the command. Results come in batches: a first one and, with the cursor's
+    id, more by `getMore`."""
     name, target = next(iter(spec.items()))
     handler = globals().get(f"_do_{name}")
     if handler is not None:
@@ -45,24 +51,70 @@ def _static(db: Any, name: str) -> dict:
         return {"parsed": dict(sc.getConf().getAll())}
     if name == "currentOp":
         return {"inprog": [{"opid": j} for j in sc.statusTracker().getActiveJobsIds()]}
-    if name == "killOp":
-        sc.cancelAllJobs()
-        return {"info": "jobs cancelled"}
     if name == "listCommands":
-        return {"commands": {c: {} for c in (*_STATIC, *(k[4:] for k in globals() if k.startswith("_do_")))}}
+        helps = {k[4:]: (v.__doc__ or "") for k, v in globals().items() if k.startswith("_do_")}
+        return {"commands": {c: {"help": helps.get(c, "")} for c in sorted({*_STATIC, *helps})}}
     return {}
 
 
-def _cursor(db: Any, name: str, df: Any) -> dict:
-    return {"cursor": {"id": 0, "ns": f"{db.name}.{name}", "firstBatch": _rows(df)}}
+def _cursor(db: Any, name: str, df: Any, spec: dict) -> dict:
+    """The first batch and the number of a cursor for the rest (0: there is none). Rows come partition by partition."""
+    size = spec.get("batchSize", (spec.get("cursor") or {}).get("batchSize", BATCH))
+    if not isinstance(size, int) or isinstance(size, bool) or size < 0:
+        raise QueryError("batchSize is a whole number of at least 0")
+    rows = (r.asDict(recursive=True) for r in df.toLocalIterator(prefetchPartitions=True))
+    first = list(itertools.islice(rows, size))
+    number = _keep(db, next(_numbers), rows)
+    return {"cursor": {"id": number, "ns": f"{db.name}.{name}", "firstBatch": first}}
+
+
+_numbers = itertools.count(1)
+
+
+def _keep(db: Any, number: int, rows: Any) -> int:
+    """The cursor's number, if rows are left."""
+    ahead = list(itertools.islice(rows, 1))
+    if not ahead:
+        db.cursors.pop(number, None)
+        return 0
+    db.cursors[number] = itertools.chain(ahead, rows)
+    return number
+
+
+def _do_getMore(db: Any, number: int, spec: dict) -> dict:  # noqa: N802
+    """The next batch of a cursor."""
+    if number not in db.cursors:
+        raise QueryError(f"cursor {number} is not open")
+    rows = db.cursors[number]
+    batch = list(itertools.islice(rows, spec.get("batchSize", BATCH)))
+    return {"cursor": {"id": _keep(db, number, rows), "ns": f"{db.name}.{spec.get('collection', '')}", "nextBatch": batch}}
+
+
+def _do_killCursors(db: Any, _: Any, spec: dict) -> dict:  # noqa: N802
+    """Forget cursors."""
+    open_, gone = [n for n in spec["cursors"] if n in db.cursors], [n for n in spec["cursors"] if n not in db.cursors]
+    for n in open_:
+        del db.cursors[n]
+    return {"cursorsKilled": open_, "cursorsNotFound": gone}
+
+
+def _do_killOp(db: Any, _: Any, spec: dict) -> dict:  # noqa: N802
+    """Cancel one job, named by the opid that currentOp shows."""
+    op = spec.get("op")
+    if not isinstance(op, int) or isinstance(op, bool):
+        raise QueryError("killOp takes op, the number of an operation")
+    if op not in db.spark.sparkContext.statusTracker().getActiveJobsIds():
+        return {"info": "no such operation"}
+    db.spark.sparkContext._jsc.sc().cancelJob(op)
+    return {"info": "attempting to kill op"}
 
 
 def _do_find(db: Any, name: str, spec: dict) -> dict:
-    return _cursor(db, name, db[name].find(spec.get("filter"), spec.get("projection"), spec.get("sort"), spec.get("skip", 0), spec.get("limit", 0), spec.get("let"), spec.get("collation")))
+    return _cursor(db, name, db[name].find(spec.get("filter"), spec.get("projection"), spec.get("sort"), spec.get("skip", 0), spec.get("limit", 0), spec.get("let"), spec.get("collation"), spec.get("hint")), spec)
 
 
 def _do_aggregate(db: Any, name: Any, spec: dict) -> dict:
-    return _cursor(db, str(name), db.aggregate(spec["pipeline"]) if name == 1 else db[name].aggregate(spec["pipeline"], spec.get("let")))
+    return _cursor(db, str(name), db.aggregate(spec["pipeline"]) if name == 1 else db[name].aggregate(spec["pipeline"], spec.get("let")), spec)
 
 
 def _do_count(db: Any, name: str, spec: dict) -> dict:

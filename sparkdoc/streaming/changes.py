@@ -24,17 +24,25 @@ ALLOWED = ("$match", "$project", "$addFields", "$set", "$unset", "$replaceRoot",
 
 
 class ChangeLog:
-    """The writer's side. `retention`: how many events `compact` keeps."""
+    """The writer's side. `retention`: how many events `compact` keeps. A log that is there is carried on: numbers go on
+    behind its last event."""
 
     def __init__(self, database: Any, folder: str, retention: int = 10_000):
         self.database, self.folder, self.retention = database, folder, retention
-        self.last = 0
+        spark = database.spark
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        self.last = (spark.read.schema(SCHEMA).json(folder).agg(F.max("seq")).first()[0] or 0) if there else 0
         database.listeners.append(self.append)
 
-    def append(self, name: str, operation: str, rows: DataFrame) -> None:
-        """Events for the rows of one write, numbered on from the last."""
+    def append(self, name: str, operation: str, rows: DataFrame | None) -> None:
+        """Events for the rows of one write, numbered on from the last: documents as they are now, of deleted ones the keys.
+        Without rows one event of the collection itself (drop, rename, invalidate)."""
+        if rows is None:
+            rows = self.database.spark.range(1).select(F.lit(None).cast("string").alias("_id"))
         key = F.col("_id").cast("string") if "_id" in rows.columns else F.lit(None).cast("string")
-        docs = F.to_json(F.struct(*[F.col(quote(c)) for c in rows.columns]))
+        bare = operation in ("delete", "drop", "rename", "invalidate")
+        docs = F.lit(None).cast("string") if bare else F.to_json(F.struct(*[F.col(quote(c)) for c in rows.columns]))
         # numbers are ranges: a partition's offset is a running sum over partition counts
         tagged = rows.select(key.alias("documentKey"), docs.alias("fullDocument"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")).persist()
         counts = sorted((r["p"], r["count"]) for r in tagged.groupBy("p").count().collect())
@@ -69,6 +77,7 @@ def watch(spark: SparkSession, folder: str, pipeline: list | None = None, db: st
     """A streaming DataFrame of events (or, with streaming=False, a batch over what is there).
 
     `schema`: of the documents; without it fullDocument stays JSON. resume_after: a sequence number (`seq` of an event).
+    A batch over one collection ends with the event that invalidates it; a stream shows that event and goes on.
     """
     if full_document not in ("default", "updateLookup", "whenAvailable", "required"):
         raise QueryError("unknown fullDocument mode")
@@ -83,6 +92,9 @@ def watch(spark: SparkSession, folder: str, pipeline: list | None = None, db: st
         if oldest is not None and oldest > resume_after + 1:
             raise QueryError("the stream cannot resume there: events are gone")
         log = log.where(F.col("seq") > resume_after)
+    if not streaming and coll is not None:
+        ended = log.where("operationType = 'invalidate'").agg(F.min("seq").alias("__sd_ended"))
+        log = log.join(F.broadcast(ended), how="cross").where("__sd_ended is null or seq <= __sd_ended").drop("__sd_ended")  # one row
     if start_at is not None:
         log = log.where(F.col("time") >= F.lit(str(start_at)).cast("timestamp_ntz"))
     if schema is not None:
@@ -90,7 +102,7 @@ def watch(spark: SparkSession, folder: str, pipeline: list | None = None, db: st
     if full_document == "default":
         log = log.withColumn("fullDocument", F.when(F.col("operationType").isin("insert", "replace"), F.col("fullDocument")))
     elif full_document == "required":
-        log = log.withColumn("fullDocument", F.when(F.col("fullDocument").isNull() & (F.col("operationType") != "delete"), F.raise_error(F.lit("an event has no document")).cast(log.schema["fullDocument"].dataType)).otherwise(F.col("fullDocument")))
+        log = log.withColumn("fullDocument", F.when(F.col("fullDocument").isNull() & F.col("operationType").isin("insert", "update", "replace"), F.raise_error(F.lit("an event has no document")).cast(log.schema["fullDocument"].dataType)).otherwise(F.col("fullDocument")))
     return transformed(log, pipeline or [], spark)
 
 

@@ -96,11 +96,105 @@ def test_change_stream(db, spark, tmp_path):
     seen = drain(watch(spark, log.folder), str(tmp_path / "all")).count()
     assert seen == 3 and gaps(spark.read.schema("seq long").json(log.folder)).count() == 0
     db["c"].delete_many({"_id": 4})
-    assert watch(spark, log.folder, resume_after=1, streaming=False).count() == 2
+    assert watch(spark, log.folder, resume_after=1, streaming=False).count() == 3
+    gone = watch(spark, log.folder, resume_after=3, streaming=False).first()
+    assert (gone.operationType, gone.documentKey, gone.fullDocument) == ("delete", "4", None)
     with pytest.raises(QueryError):
         watch(spark, log.folder, [{"$group": {"_id": None}}])
 
 
+def test_updates_that_leave_their_filter(db, spark, tmp_path):
+    v = db.create_collection("v", {"n": {"$lt": 10}})
+    v.insert_many([{"_id": 1, "st": "A", "n": 1}, {"_id": 2, "st": "A", "n": 2}, {"_id": 3, "st": "B", "n": 3}])
+    log = ChangeLog(db, str(tmp_path / "log"))
+    with pytest.raises(WriteError):
+        v.update_many({"st": "A"}, {"$set": {"st": "Z", "n": 99}})
+    assert v.count_documents({"st": "A"}) == 2 and log.last == 0
+    assert v.update_many({"st": "A"}, {"$set": {"st": "Z", "n": 99}}, bypass_document_validation=True).modified == 2
+    events = watch(spark, log.folder, streaming=False, schema="_id long, st string, n long", full_document="updateLookup").orderBy("seq").collect()
+    assert sorted((e.operationType, e.documentKey, e.fullDocument.st) for e in events) == [("update", "1", "Z"), ("update", "2", "Z")]
+    same = v.update_many({}, {"$set": {"st": "Z"}}, bypass_document_validation=True)
+    assert (same.matched, same.modified) == (3, 1) and log.last == 3
+    assert v.update_many({"_id": 1}, [{"$set": {"st": "Z"}}], bypass_document_validation=True).modified == 0
+    assert v.update_many({"_id": 1}, [{"$project": {"n": 1}}], bypass_document_validation=True).modified == 1
+    with pytest.raises(Exception, match="_id cannot be changed"):
+        v.update_many({"_id": 1}, [{"$set": {"_id": 9}}], bypass_document_validation=True)
+    assert v.replace_one({"_id": 3}, {"n": 4}).modified == 1 and v.replace_one({"_id": 3}, {"n": 4}).modified == 0
+    assert v.delete_many({"n": {"$gt": 50}}).deleted == 2
+    kinds = [e.operationType for e in watch(spark, log.folder, streaming=False).orderBy("seq").collect()]
+    assert kinds[3:] == ["update", "replace", "delete", "delete"]
+    db.drop_collection("v")
+    again = ChangeLog(db, log.folder)
+    assert again.last == log.last == 9
+    assert [e.operationType for e in watch(spark, log.folder, coll="v", resume_after=7, streaming=False).orderBy("seq").collect()] == ["drop", "invalidate"]
+
+
+def test_moderate_validation(db):
+    c = db["m"]
+    c.insert_many([{"_id": 1, "n": 50}, {"_id": 2, "n": 5}])
+    db.create_collection("m", {"n": {"$lt": 10}}, validationLevel="moderate")
+    assert c.update_many({"_id": 1}, {"$inc": {"n": 1}}).modified == 1
+    with pytest.raises(WriteError):
+        c.update_many({"_id": 2}, {"$inc": {"n": 10}})
+
+
+def test_hints_projections_and_bulk_errors(db):
+    from sparkdoc.sources.collection import BulkWriteError
+
+    c = db["c"]
+    c.create_index("a")
+    assert c.find({"a": 5}, hint="a_1").count() == 1 and c.find({"a": 5}, hint={"a": 1}).count() == 1
+    with pytest.raises(QueryError):
+        c.find({}, hint="nope")
+    assert c.find_one_and_update({"_id": 1}, {"$set": {"a": 3}}, projection={"a": 1}) == {"_id": 1, "a": 1}
+    assert c.find_one_and_update({"a": {"$gt": 4}}, {"$set": {"a": 0}}, sort=[("a", -1)], after=True, projection={"a": 1}) == {"_id": 3, "a": 0}
+    assert c.update_many({"$expr": {"$eq": ["$a", "$$x"]}}, {"$set": {"a": 8}}, let={"x": 3}).modified == 1
+    with pytest.raises(BulkWriteError) as failed:
+        c.bulk_write([("insert_one", {"_id": 1}), ("insert_one", {"_id": 60, "a": 1}), ("insert_one", {"_id": 60})], ordered=False)
+    assert [k for k, _ in failed.value.errors] == [0, 2] and failed.value.result.inserted == 1
+    import pyarrow as pa
+
+    assert [len(b) for b in c.raw_batches(c.find().coalesce(1), 3)] == [3, 1]
+    assert sum(pa.ipc.open_stream(b).read_all().num_rows for b in c.raw_batches(c.find(), raw=True)) == 4
+
+
+def test_cursors_and_kill(db):
+    first = db.command({"find": "c", "sort": [("_id", 1)], "batchSize": 2})["cursor"]
+    assert [d["_id"] for d in first["firstBatch"]] == [1, 2] and first["id"]
+    rest = db.command({"getMore": first["id"], "collection": "c"})["cursor"]
+    assert [d["_id"] for d in rest["nextBatch"]] == [3] and rest["id"] == 0
+    held = db.command({"find": "c", "batchSize": 1})["cursor"]["id"]
+    assert db.command({"killCursors": "c", "cursors": [held, 10**9]})["cursorsKilled"] == [held]
+    assert db.command({"killOp": 1, "op": 10**9})["info"] == "no such operation"
+    with pytest.raises(QueryError):
+        db.command({"killOp": 1})
+
+
+def test_many_inserts_and_merge_events(db, spark, tmp_path):
+    c = db["i"]
+    for k in range(35):
+        c.insert_one({"_id": k, "a": k})
+    assert c.count_documents({}) == 35 and db.parts["i"] < 35
+    log = ChangeLog(db, str(tmp_path / "log"))
+    db["c"].aggregate([{"$project": {"a": {"$literal": 1}}}, {"$merge": {"into": "i", "whenMatched": "replace"}}])
+    db["c"].aggregate([{"$project": {"_id": {"$add": ["$_id", 33]}, "a": {"$literal": 7}}}, {"$merge": {"into": "i", "whenMatched": "keepExisting"}}])
+    kinds = sorted((e.operationType, e.documentKey) for e in watch(spark, log.folder, streaming=False).collect())
+    assert kinds == [("insert", "35"), ("insert", "36"), ("replace", "2"), ("replace", "3")]
+
+
+def test_transaction_events(db, spark, tmp_path):
+    from sparkdoc.sources.sessions import Session
+
+    log = ChangeLog(db, str(tmp_path / "log"))
+    s = Session(db)
+    s.start_transaction()["c"].delete_one({"_id": 1})
+    assert log.last == 0
+    s.commit_transaction()
+    s.start_transaction()["c"].delete_one({"_id": 2})
+    s.abort_transaction()
+    assert [(e.operationType, e.documentKey) for e in watch(spark, log.folder, streaming=False).collect()] == [("delete", "1")]
+
+
 def test_windowed_stream(spark, tmp_path):
     spark.sql("SELECT timestamp_seconds(id * 30) AS ts, id % 2 AS k FROM range(10)").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, k long").parquet(str(tmp_path / "in"))
