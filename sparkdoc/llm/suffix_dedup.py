@@ -6,14 +6,20 @@ cluster, texts are first cut where their content says so:
 
 * Every string of `length` bytes has an anchor, the leftmost of its `gram`-byte pieces with the least hash. Equal
   strings have equal anchors at equal offsets, so a string can only repeat among the contexts of one anchor value: the
-  stretch of text whose strings have that anchor. Anchor values that occur once are done; a Bloom filter of fixed size
-  carries the others to a second reading of the texts, which sends only their contexts. What slips through is harmless.
+  stretch of text whose strings have that anchor. Anchor values that occur once are done; the others pick the contexts
+  that a second reading of the texts sends: by a Bloom filter of fixed size, or, if there are more of them than that
+  holds, by a join that gives every document its own repeated anchors. What slips through a filter is harmless.
 * Contexts are dealt out by anchor value, equal ones are collapsed, and each block is suffix-sorted in two stages:
   suffixes smaller than their successors are sorted directly, all others are induced by scanning the buckets in order.
   Adjacent suffixes that share `length` bytes are one string; whatever occurrence is not its first is removed.
 * Anchor values that occur very often (a passage that a third of all documents share) would fill one block. Their
-  strings are dealt out singly by what they start with, so they spread, and equal strings collapse at the sender.
-* Exact copies of a whole document are dropped before all that, with the same Bloom filter technique: all their bytes go.
+  strings are dealt out singly, so they spread, and a sender names each distinct string once, with its first occurrence
+  there. Blocks of them are sorted the same way and give the first occurrence of each string; that table is joined back
+  to the strings, occurrence by occurrence, so no task ever holds all occurrences of one.
+* Exact copies of a whole document are dropped before all that, by the same sieve: all their bytes go.
+
+A document is a row's id together with its text; `tie`, a 64-bit hash of the text, tells texts of one id apart and orders
+them.
 """
 
 from __future__ import annotations
@@ -26,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Bits, arrow_map, chunks, cut, flat, long_of, mix64, sift
+from .util import Bits, Sieve, arrow_map, chunks, cut, flat, fresh, long_of, mix64, sift
 
 LENGTH, GRAM = 100, 24
 #: Bytes of contexts in one suffix array and bytes of input for one bucket, about; occurrences from which an anchor is
 #: dealt out string by string.
 BLOCK, BUCKET, HOT = 1_200_000, 6_000_000, 4000
+#: Hashes that a sender counts together.
+TOGETHER = 2_000_000
 #: Ends a context in a suffix array: no byte of UTF-8.
 STOP = 0xFF
-_EDGE = np.uint64(0xFF51AFD7ED558CCD)
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------
@@ -259,6 +266,17 @@ def _context_ids(anchor: np.ndarray, size: np.ndarray, text: np.ndarray, start:
     return np.array([hashlib.blake2b(view[s : s + n], digest_size=16, key=int(a).to_bytes(8, "little")).digest() for a, s, n in zip(anchor.tolist(), start.tolist(), size.tolist(), strict=True)], dtype="V16") if len(size) else np.zeros(0, "V16")
 
 
+def numbered(doc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each occurrence's document in their order, doc and tie by number)."""
+    order = np.lexsort((tie, doc))
+    doc, tie = doc[order], tie[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, doc[new], tie[new]
+
+
 class Collapsed:
     """Contexts with their occurrences, equal contexts held once."""
 
@@ -267,12 +285,9 @@ class Collapsed:
         self.anchor: list[int] = []
         self.size: list[int] = []
         self.texts: list[bytes] = []
-        self.held = 0
-        self.which: list[np.ndarray] = []
-        self.doc: list[np.ndarray] = []
-        self.place: list[np.ndarray] = []
+        self.columns: list[list[np.ndarray]] = [[], [], [], []]
 
-    def add(self, anchor, names, text, start, size, which, doc, place) -> None:
+    def add(self, anchor, names, text, start, size, which, doc, tie, place) -> None:
         """Contexts with names, and occurrences `which` of them."""
         to = np.empty(len(size), np.int64)
         view = memoryview(np.ascontiguousarray(text))
@@ -283,168 +298,349 @@ class Collapsed:
                 self.texts.append(bytes(view[start[k] : start[k] + size[k]]))
                 self.anchor.append(int(anchor[k]))
                 self.size.append(int(size[k]))
-                self.held += int(size[k])
             to[k] = n
-        self.which.append(to[which].astype(np.int32))
-        self.doc.append(doc)
-        self.place.append(place.astype(np.int32))
-
-    def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        which, doc, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.which, self.doc, self.place))
-        order = np.lexsort((place, doc, which))
-        which, doc, place = which[order], doc[order], place[order]
+        for held, column in zip(self.columns, (to[which].astype(np.int32), doc, tie, place.astype(np.int32)), strict=True):
+            held.append(column)
+
+    def blocks(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Removed (doc, tie, from, to), from suffix arrays of about BLOCK bytes; an anchor's contexts stay together."""
+        which, doc, tie, place = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in self.columns)
+        document, docs, ties = numbered(doc, tie)
+        order = np.lexsort((place, document, which))
+        which, document, place = which[order].astype(np.int64), document[order], place[order].astype(np.int64)
         # a repeated row of the same document is no earlier occurrence
         new = np.ones(len(which), bool)
-        new[1:] = (which[1:] != which[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-        return which[new].astype(np.int64), doc[new], place[new].astype(np.int64)
-
-    def blocks(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Removed (doc, from, to), from suffix arrays of about BLOCK bytes; an anchor's contexts stay together."""
-        which, doc, place = self.occurrences()
-        anchor = np.array(self.anchor, np.uint64)
+        new[1:] = (which[1:] != which[:-1]) | (document[1:] != document[:-1]) | (place[1:] != place[:-1])
+        which, document, place = which[new], document[new], place[new]
         size = np.array(self.size, np.int64)
         times = np.bincount(which, minlength=len(size))
-        by = np.argsort(anchor, kind="stable")
-        _, group = np.unique(anchor[by], return_inverse=True)
-        keep = np.bincount(group, times[by])[group] > 1  # of an anchor that occurs once nothing can repeat
-        by, group = by[keep], group[keep]
-        if not len(by):
-            return
-        filled = np.cumsum(size[by])
-        block = (filled - 1) // BLOCK
-        last_of_group = np.concatenate((group[1:] != group[:-1], [True]))
-        block = np.maximum.accumulate(block[last_of_group])[np.cumsum(last_of_group) - last_of_group]
-        starts = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(size)))))
-        for members in np.split(by, np.flatnonzero(np.diff(block)) + 1):
+        starts = np.concatenate(([0], np.cumsum(times)))
+        for members in in_blocks(np.array(self.anchor, np.uint64), size, times):
             text = np.frombuffer(b"".join(self.texts[m] for m in members.tolist()), np.uint8)
             own = size[members]
-            count = starts[members + 1] - starts[members]
+            count = times[members]
             occurs = np.repeat(starts[members] - np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.arange(int(count.sum()))
-            yield repeated(text, np.cumsum(own) - own, own, doc[occurs], place[occurs], np.repeat(np.arange(len(members)), count), length)
+            gone, lo, hi = repeated(text, np.cumsum(own) - own, own, document[occurs], place[occurs], np.repeat(np.arange(len(members)), count), length)
+            yield docs[gone], ties[gone], lo, hi
+
+
+def in_blocks(group: np.ndarray, size: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+    """Members cut into blocks of about BLOCK bytes that keep groups together; groups that occur once are left out."""
+    by = np.argsort(group, kind="stable")
+    _, place = np.unique(group[by], return_inverse=True)
+    keep = np.bincount(place, times[by])[place] > 1 if len(by) else np.zeros(0, bool)
+    by, place = by[keep], place[keep]
+    if not len(by):
+        return []
+    block = (np.cumsum(size[by]) - 1) // BLOCK
+    last_of_group = np.concatenate((place[1:] != place[:-1], [True]))
+    block = np.maximum.accumulate(block[last_of_group])[np.cumsum(last_of_group) - last_of_group]
+    return np.split(by, np.flatnonzero(np.diff(block)) + 1)
+
+
+class Strings:
+    """Distinct strings of `length` bytes by name, each with the first occurrence that any sender told of."""
+
+    def __init__(self, length: int):
+        self.length, self.texts, self.parts = length, {}, []
+
+    def add(self, names: bytes, body: bytes, times: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> None:
+        for k in range(len(doc)):
+            self.texts.setdefault(names[16 * k : 16 * k + 16], body[k * self.length : (k + 1) * self.length])
+        self.parts.append((np.frombuffer(names, "V16"), times, doc, tie, place))
+
+    def firsts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(names, doc, tie, place): where each string that repeats starts first."""
+        names, times, doc, tie, place = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        document, docs, ties = numbered(doc, tie)
+        known, which = np.unique(names, return_inverse=True)
+        order = np.lexsort((place, document, which))
+        one = order[np.concatenate(([0], np.flatnonzero(np.diff(which[order])) + 1))]
+        size = np.full(len(known), self.length, np.int64)
+        count = np.bincount(which, times).astype(np.int64)
+        for members in in_blocks(np.arange(len(known)), size, count):
+            text = np.full(len(members) * (self.length + 1), STOP, np.uint8)
+            text.reshape(len(members), -1)[:, : self.length] = np.frombuffer(b"".join(self.texts[known[m].tobytes()] for m in members.tolist()), np.uint8).reshape(len(members), -1)
+            words = eight_bytes(text)
+            ranked = suffix_array(text, self.length, words)
+            ranked = ranked[ranked % (self.length + 1) == 0]
+            cls = np.cumsum(common_prefixes(words, ranked, self.length) < self.length) - 1
+            m = members[ranked // (self.length + 1)]
+            by = np.lexsort((place[one[m]], document[one[m]], cls))  # names of one class, should there be several, have one first
+            start = np.concatenate(([0], np.flatnonzero(np.diff(cls[by])) + 1))
+            first = one[m[by][start]][cls]
+            yield known[m], docs[document[first]], ties[document[first]], place[first]
 
 
 # --- the distributed operator ----------------------------------------------------------------------------------------
 
 
+def _body(text: str):
+    return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+
+
+def _tie(text: str):
+    return F.xxhash64(_body(text))
+
+
 def _texts(documents: DataFrame, id_column: str, text: str) -> DataFrame:
-    return documents.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return documents.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), _tie(text).alias("tie"), _body(text).alias("text"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], wanted: Bits):
+def _batches(batches: Iterator[pa.RecordBatch], wanted, own: bool = False):
+    """(doc_id, tie, bytes, offsets, each document's own anchors if it brings them) of about a million bytes each."""
     for batch in batches:
-        batch = batch.filter(pa.array(wanted.holds(long_of(batch.column(0)))))
+        batch = batch.filter(pa.array(wanted(long_of(batch.column(0)))))
         if batch.num_rows:
-            raw, offsets = flat(batch.column(1))
-            ids = long_of(batch.column(0))
+            raw, offsets = flat(batch.column(2))
+            ids, ties = long_of(batch.column(0)), long_of(batch.column(1))
             for lo, hi in chunks(offsets, 1_000_000):
-                yield ids[lo:hi], raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                yield ids[lo:hi], ties[lo:hi], raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], batch.column(3).slice(lo, hi - lo) if own else None
 
 
-def removed_spans(texts: DataFrame, wanted: Bits, total_bytes: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, lo, hi): stretches to remove, overlapping ones included, for the texts that `wanted` holds."""
-    spark = texts.sparkSession
-    sieve = spark.sparkContext.broadcast(wanted)
-    anchor_count = total_bytes * 2 // (length - gram) + 1
-    buckets = max(1, int(total_bytes // BUCKET) + 1)
+def count_hashes(rows: DataFrame, hashes, buckets: int) -> DataFrame:
+    """(h, n): hashes that occur more than once, and how often. Each sender counts TOGETHER of them before it sends, so a
+    hash that a third of all documents hold is one number a sender."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, offsets in _batches(batches, sieve.value):
-            hashed = np.sort(anchors(raw, offsets, length, gram)[0])
-            bucket = (hashed % np.uint64(buckets)).astype(np.int32)
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            value, times = np.unique(np.concatenate(held), return_counts=True)
+            bucket = (value % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             of, begin = np.unique(bucket[order], return_index=True)
-            if len(of):
-                cuts = np.append(begin, len(order))
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array([hashed[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["bucket", "h"])
+            cuts = np.append(begin, len(order))
+            # a count that a byte holds is one; the few others follow with their places
+            small = np.minimum(times, 255).astype(np.uint8)
+            rest = [np.flatnonzero(small[order[a:b]] == 255) for a, b in zip(cuts, cuts[1:], strict=False)]
+            columns = (
+                [value[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
+                [small[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
+                [np.stack((r, times[order[a:b]][r])).astype(np.int64).tobytes() for r, a, b in zip(rest, cuts, cuts[1:], strict=False)],
+            )
+            return pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "h", "n", "more"])
+
+        for h in hashes(batches):
+            held.append(h)
+            size += len(h)
+            if size >= TOGETHER:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
 
-        def flush():
-            value, times = np.unique(np.concatenate(held), return_counts=True)
+        def flush() -> pa.RecordBatch:
+            value, where = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            times = np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
             many = times > 1
             return pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(times[many])], names=["h", "n"])
 
         for batch in batches:
-            for bucket, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, h, n, more in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if bucket != at and held:
                     yield flush()
                     held = []
                 at = bucket
-                held.append(np.frombuffer(h, np.uint64))
+                times = np.frombuffer(n, np.uint8).astype(np.int64)
+                place, large = np.frombuffer(more, np.int64).reshape(2, -1)
+                times[place] = large
+                held.append((np.frombuffer(h, np.uint64), times))
         if held:
             yield flush()
 
-    found = cut(arrow_map(arrow_map(texts, send, "bucket int, h binary").repartition(buckets, "bucket").sortWithinPartitions("bucket"), count, "h long, n long"))
+    sent = arrow_map(rows, send, "bucket int, h binary, n binary, more binary")
+    return cut(arrow_map(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), count, "h long, n long"))
+
+
+def removed_spans(texts: DataFrame, reps: DataFrame, total_bytes: int, how_many_reps: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc_id, tie, lo, hi): stretches to remove, overlapping ones included, for the texts of the ids in reps."""
+    spark = texts.sparkSession
+    sieve = Sieve(texts, reps, count=how_many_reps)
+    wanted, rows = sieve.test(), sieve.rows
+    buckets = max(1, int(total_bytes // BUCKET) + 1)
+
+    def anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, _, raw, offsets, _ in _batches(batches, wanted):
+            yield anchors(raw, offsets, length, gram)[0]
+
+    found = count_hashes(rows, anchor_hashes, buckets)
     how_many, how_hot = found.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > HOT, 1))).first()
-    many = spark.sparkContext.broadcast(Bits(how_many, probes=3).fill(found.select("h")))
-    hot = spark.sparkContext.broadcast(Bits(how_hot, probes=3).fill(found.where(F.col("n") > HOT).select("h")) if how_hot else None)
+    fits = Bits.fits(how_many)
+    if fits:
+        many = spark.sparkContext.broadcast(Bits(how_many, probes=3).fill(found.select("h")))
+        hot = spark.sparkContext.broadcast(Bits(how_hot, probes=3).fill(found.where(F.col("n") > HOT).select("h")) if how_hot else None)
+    else:
+        many = hot = None
+        rows = _with_own_anchors(rows, wanted, found, length, gram)
+
+    def picked(batches: Iterator[pa.RecordBatch], busy_ones: bool):
+        """(ids, ties, raw, offsets, hash, first, last) of repeated anchors: hot ones, or all others."""
+        for ids, ties, raw, offsets, own in _batches(batches, wanted, not fits):
+            hashed, first, last = anchors(raw, offsets, length, gram)
+            if fits:
+                keep = many.value.holds(hashed.view(np.int64))
+                busy = hot.value.holds(hashed.view(np.int64)) if hot.value is not None else np.zeros(len(hashed), bool)
+            else:
+                keep, busy = _own(own, hashed, np.searchsorted(offsets, first, side="right") - 1)
+            keep &= busy == busy_ones
+            if keep.any():
+                yield ids, ties, raw, offsets, hashed[keep], first[keep], last[keep]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, raw, offsets in _batches(batches, sieve.value):
-            hashed, first, last = anchors(raw, offsets, length, gram)
-            keep = many.value.holds(hashed.view(np.int64))
-            hashed, first, last = hashed[keep], first[keep], last[keep]
-            if hot.value is not None and len(hashed):
-                busy = hot.value.holds(hashed.view(np.int64))
-                n = (last - first + 1)[busy]
-                single = np.repeat(first[busy] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))
-                begins = gram_hashes(raw, gram)[single] ^ _EDGE
-                hashed, first, last = np.concatenate((hashed[~busy], begins)), np.concatenate((first[~busy], single)), np.concatenate((last[~busy], single))
-            if not len(hashed):
-                continue
+        for ids, ties, raw, offsets, hashed, first, last in picked(batches, False):
             of = np.searchsorted(offsets, first, side="right") - 1
             size = last - first + length
             names = _context_ids(hashed, size, raw, first)
             bucket = (mix64(hashed) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order])) + 1
-            rows = []
+            made = []
             for group in np.split(order, edges):
                 distinct, one, which = np.unique(names[group], return_index=True, return_inverse=True)
                 g = group[one]
                 body = b"".join(raw[first[k] : first[k] + size[k]].tobytes() for k in g.tolist())
-                rows.append((int(bucket[group[0]]), distinct.tobytes(), hashed[g].tobytes(), size[g].astype(np.int32).tobytes(), body, which.astype(np.int32).tobytes(), ids[of[group]].tobytes(), (first[group] - offsets[of[group]]).astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(8)], names=["bucket", *_FIELDS])
+                made.append((int(bucket[group[0]]), distinct.tobytes(), hashed[g].tobytes(), size[g].astype(np.int32).tobytes(), body, which.astype(np.int32).tobytes(), ids[of[group]].tobytes(), ties[of[group]].tobytes(), (first[group] - offsets[of[group]]).astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], pa.binary() if k else pa.int32()) for k in range(9)], names=["bucket", *_FIELDS])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = Collapsed(), None
+        for batch in batches:
+            for bucket, names, hashed, size, body, which, doc, tie, place in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
+                if bucket != at and at is not None:
+                    yield from map(_spans, held.blocks(length))
+                    held = Collapsed()
+                at = bucket
+                own = np.frombuffer(size, np.int32).astype(np.int64)
+                held.add(np.frombuffer(hashed, np.uint64), np.frombuffer(names, "V16"), np.frombuffer(body, np.uint8), np.cumsum(own) - own, own, np.frombuffer(which, np.int32), np.frombuffer(doc, np.int64), np.frombuffer(tie, np.int64), np.frombuffer(place, np.int32))
+        if at is not None:
+            yield from map(_spans, held.blocks(length))
+
+    sent = arrow_map(rows, contexts, "bucket int, " + ", ".join(f"{f} binary" for f in _FIELDS))
+    spans = arrow_map(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), sort, _SPANS)
+    return spans.unionByName(_hot_spans(rows, picked, buckets, length)) if how_hot else spans
+
+
+def _hot_spans(rows: DataFrame, picked, buckets: int, length: int) -> DataFrame:
+    """Spans of the strings whose anchors are hot: one span a string."""
+    spark = rows.sparkSession
+
+    def strings(batches: Iterator[pa.RecordBatch]):
+        """(ids, ties, raw, offsets, hash of each string, where it starts)."""
+        for ids, ties, raw, offsets, _, first, last in picked(batches, True):
+            n = last - first + 1
+            start = np.repeat(first - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))
+            yield ids, ties, raw, offsets, gram_hashes(raw, length)[start], start
+
+    found = count_hashes(rows, lambda batches: (s[4] for s in strings(batches)), buckets)
+    how_many = found.count()
+    many = spark.sparkContext.broadcast(Bits(how_many, probes=3).fill(found.select("h")) if Bits.fits(how_many) else None)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """kind 0: distinct strings of a batch for a bucket, with their first occurrences; kind 1: all occurrences."""
+        for ids, ties, raw, offsets, hashed, start in strings(batches):
+            if many.value is not None:
+                keep = many.value.holds(hashed.view(np.int64))
+                hashed, start = hashed[keep], start[keep]
+            if not len(start):
+                continue
+            of = np.searchsorted(offsets, start, side="right") - 1
+            view = memoryview(np.ascontiguousarray(raw))
+            names = np.frombuffer(b"".join(hashlib.blake2b(view[s : s + length], digest_size=16).digest() for s in start.tolist()), "V16")
+            doc, tie, place = ids[of], ties[of], start - offsets[of]
+            known, which, times = np.unique(names, return_inverse=True, return_counts=True)
+            order = np.lexsort((place, tie, doc, which))
+            one = order[np.concatenate(([0], np.flatnonzero(np.diff(which[order])) + 1))]
+            bucket = (hashed[one] % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            made = [(int(bucket[g[0]]), known[g].tobytes(), b"".join(bytes(view[s : s + length]) for s in start[one[g]].tolist()), times[g].astype(np.int64).tobytes(), doc[one[g]].tobytes(), tie[one[g]].tobytes(), place[one[g]].astype(np.int32).tobytes()) for g in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)]
+            none = pa.nulls(len(made), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), *(pa.array([r[k] for r in made], pa.binary()) for k in range(1, 7)), none, none, none, none, none], names=_DEALT)
+            hi, lo = names.view(np.int64).reshape(-1, 2).T
+            empty, nobody = pa.nulls(len(start), pa.binary()), pa.nulls(len(start), pa.int32())
+            yield pa.RecordBatch.from_arrays([nobody, *[empty] * 6, *(pa.array(np.ascontiguousarray(c.astype(np.int64))) for c in (hi, lo, doc, tie, place))], names=_DEALT)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = Strings(length), None
 
-        def flush():
-            for doc, lo, hi in held.blocks(length):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(hi)], names=["doc_id", "lo", "hi"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for names, doc, tie, place in held.firsts():
+                hi, lo = np.ascontiguousarray(names).view(np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c.astype(np.int64))) for c in (hi, lo, doc, tie, place)], names=["hi", "lo", "first_doc", "first_tie", "first_place"])
 
         for batch in batches:
-            for bucket, names, hashed, size, body, which, doc, place in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+            for bucket, names, body, times, doc, tie, place in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 if bucket != at and at is not None:
                     yield from flush()
-                    held = Collapsed()
+                    held = Strings(length)
                 at = bucket
-                own = np.frombuffer(size, np.int32).astype(np.int64)
-                held.add(np.frombuffer(hashed, np.uint64), np.frombuffer(names, "V16"), np.frombuffer(body, np.uint8), np.cumsum(own) - own, own, np.frombuffer(which, np.int32), np.frombuffer(doc, np.int64), np.frombuffer(place, np.int32))
+                held.add(names, body, np.frombuffer(times, np.int64), np.frombuffer(doc, np.int64), np.frombuffer(tie, np.int64), np.frombuffer(place, np.int32).astype(np.int64))
         if at is not None:
             yield from flush()
 
-    sent = arrow_map(texts, contexts, "bucket int, " + ", ".join(f"{f} binary" for f in _FIELDS))
-    return arrow_map(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), sort, "doc_id long, lo long, hi long")
+    dealt = cut(arrow_map(rows, deal, "bucket int, " + ", ".join(f"{c} binary" for c in _DEALT[1:7]) + ", " + ", ".join(f"{c} long" for c in _DEALT[7:])))
+    distinct = dealt.where("bucket is not null").select(*_DEALT[:7])
+    # a table of its own: a join of two plain exchanges, of which Spark can split a string of any number of occurrences
+    firsts = cut(arrow_map(distinct.repartition(buckets, "bucket").sortWithinPartitions("bucket"), sort, "hi long, lo long, first_doc long, first_tie long, first_place long"))
+    met = dealt.where("bucket is null").select("hi", "lo", "doc_id", "tie", "at").join(firsts, ["hi", "lo"])
+    later = met.where(~((F.col("doc_id") == F.col("first_doc")) & (F.col("tie") == F.col("first_tie")) & (F.col("at") == F.col("first_place"))))
+    return later.select("doc_id", "tie", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
 
 
-_FIELDS = ("names", "hashed", "size", "body", "which", "doc", "place")
+def _with_own_anchors(rows: DataFrame, wanted, found: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc_id, tie, text, own: for more repeated anchors than a filter holds, each document's own (hash and whether it is
+    hot, as a list of longs: the hash, last bit replaced), by joins. Documents without any are left out."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, ties, raw, offsets, _ in _batches(batches, wanted):
+            hashed, first, _last = anchors(raw, offsets, length, gram)
+            of = np.searchsorted(offsets, first, side="right") - 1
+            if len(of):
+                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(ids[of]), pa.array(ties[of])], names=["h", "doc_id", "tie"])
+
+    mark = F.col("h").bitwiseAND(F.lit(-2)).bitwiseOR((F.col("n") > HOT).cast("long"))
+    held = arrow_map(rows, emit, "h long, doc_id long, tie long").join(found, "h").groupBy("doc_id", "tie").agg(F.collect_set(mark).alias("own"))
+    return rows.join(cut(held), ["doc_id", "tie"]).select("doc_id", "tie", "text", "own")
+
+
+def _own(own: pa.Array, hashed: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, hot) for anchors of the documents `of`, from the documents' own lists."""
+    values, sizes = own.flatten().to_numpy().view(np.uint64), np.diff(np.asarray(own.offsets))
+    owner = np.repeat(np.arange(len(own)), sizes)
+    scramble = lambda h, o: mix64(mix64(h >> np.uint64(1)) + o.astype(np.uint64))  # noqa: E731 - what collides slips through
+    known = scramble(values, owner)
+    order = np.argsort(known)
+    known, is_hot = known[order], (values[order] & np.uint64(1)) == 1
+    asked = scramble(hashed, of)
+    at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+    there = known[at] == asked if len(known) else np.zeros(len(asked), bool)
+    return there, there & is_hot[at] if len(known) else there
+
+
+def _spans(made: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in made], names=["doc_id", "tie", "lo", "hi"])
+
+
+_FIELDS = ("names", "hashed", "size", "body", "which", "doc", "ties", "place")
+_DEALT = ["bucket", "names", "body", "times", "doc", "ties", "place", "hi", "lo", "doc_id", "tie", "at"]
+_SPANS = "doc_id long, tie long, lo long, hi long"
 
 
 def find_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sums, parts, copies): doc_id, n_bytes and sha of every row; doc_id and spans (lo, hi) of documents that lose
-    something; doc_id of documents that repeat an earlier one as a whole."""
-    ids, body = F.col(f"`{id_column}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    sums = cut(documents.select(ids.alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")))
+    """(sums, parts, copies): doc_id, n_bytes and sha of every row; doc_id, tie and spans (lo, hi) of documents that lose
+    something; doc_id, tie and sha of documents that repeat an earlier one as a whole."""
+    ids = F.col(f"`{id_column}`").cast("long")
+    sums = cut(documents.select(ids.alias("doc_id"), _tie(text).alias("tie"), F.octet_length(_body(text)).cast("long").alias("n_bytes"), F.sha2(_body(text), 256).alias("sha")))
     named = sums.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
     # a table of its own: a join of two plain exchanges, of which Spark can split a class of copies of any size
     first = cut(named.groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("rep")))
     reps, total = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    wanted = Bits(reps).fill(first.select("rep"))
-    spans = removed_spans(_texts(documents, id_column, text), wanted, total, length, gram)
-    parts = cut(spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
-    copies = named.select("doc_id", "sha", "n_bytes").join(first, ["sha", "n_bytes"]).where("doc_id > rep").select("doc_id").distinct()
+    spans = removed_spans(_texts(documents, id_column, text), first.select("rep"), total, reps, length, gram)
+    parts = cut(spans.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")))
+    copies = named.join(first, ["sha", "n_bytes"]).where("doc_id > rep").select("doc_id", "tie", "sha").distinct()
     return sums, parts, copies
 
 
@@ -461,12 +657,14 @@ def cut_spans(raw: np.ndarray, spans: pa.StructArray) -> tuple[bytes, int]:
 
 
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of documents.
 
     Null texts count as empty and lose nothing, like all texts of fewer than `length` bytes. Rows with a null id come
     back with nothing removed. Rows that repeat an id and its text are the same document and never earlier than each
-    other. Other columns are not read; an empty table gives none. Kept texts are put together only for documents that
-    lose something but not all; the driver holds counts and Bloom filters of fixed size (16 MB at most).
+    other; rows that repeat an id with another text are documents of their own, of which that with the smaller
+    xxhash64 of its text is the earlier one. Texts of any length are cut into pieces for sorting. Other columns are not
+    read, whatever their names; an empty table gives none. Kept texts are put together only for documents that lose
+    something but not all; the driver holds counts and Bloom filters of fixed size (16 MB at most).
     """
     sums, parts, copies = find_repeats(documents, id_column, text, length, gram)
 
@@ -475,13 +673,14 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str =
             raw, offsets = flat(batch.column(1))
             out = []
             for k in range(batch.num_rows):
-                kept, n = cut_spans(raw[offsets[k] : offsets[k + 1]], batch.column(2)[k].values)
-                out.append((int(offsets[k + 1] - offsets[k]) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_removed", "n_spans", "kept_sha256"])
-
-    some = sift(_texts(documents, id_column, text), parts.select("doc_id")).join(parts, "doc_id").select("doc_id", "text", "spans")
-    changed = arrow_map(some, put_together, "doc_id long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "n_removed", "kept_sha256"])
-    joined = sums.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").join(changed, "doc_id", "left")
+                own = raw[offsets[k] : offsets[k + 1]]
+                kept, n = cut_spans(own, batch.column(2)[k].values)
+                out.append((hashlib.sha256(own).hexdigest(), len(own) - len(kept), n, hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "sha", "n_removed", "n_spans", "kept_sha256"])
+
+    some = sift(_texts(documents, id_column, text), parts.select("doc_id")).join(parts, ["doc_id", "tie"]).select("doc_id", "text", "spans")
+    changed = arrow_map(some, put_together, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "sha"])
+    joined = sums.join(copies.select("doc_id", "sha", F.lit(True).alias("copy")), ["doc_id", "sha"], "left").join(changed, ["doc_id", "sha"], "left")
     whole = F.coalesce("copy", F.lit(False))
     return joined.select(
         "doc_id",
@@ -494,10 +693,11 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str =
 
 def drop_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """documents, all rows and columns, with repeated bytes taken out of the text (a code point that loses a byte goes
-    too); n_chars, if there is one, follows the new text."""
+    too); n_chars, if there is one, follows the new text. Rows, ids and texts are read as in `remove_repeats`: rows with a
+    null id and short or null texts come back as they are, a copy comes back with an empty text. Columns of any name stay."""
     _, parts, copies = find_repeats(documents, id_column, text, length, gram)
-    spans = parts.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full").select(F.col("doc_id").alias("__id"), "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    spans = cut(spans)
+    own_id, own_tie, spans, copy, new = fresh(documents.columns, "id", "tie", "spans", "copy", "new")
+    table = cut(parts.join(copies.select("doc_id", "tie", F.lit(True).alias("whole")), ["doc_id", "tie"], "full").select(F.col("doc_id").alias(own_id), F.col("tie").alias(own_tie), F.col("spans").alias(spans), F.coalesce("whole", F.lit(False)).alias(copy)))
 
     @F.pandas_udf("string")
     def kept(column, pairs):
@@ -509,12 +709,19 @@ def drop_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "t
             out.append(cut_spans(np.frombuffer(t.encode(), np.uint8), pa.StructArray.from_arrays([lo, hi], ["lo", "hi"]))[0].decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    touched = sift(documents, spans.select("__id"), id_column)
-    untouched = sift(documents, spans.select("__id"), id_column, inside=False)
-    met = touched.join(spans, touched[id_column] == spans["__id"])
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    new = met.withColumn("__new", F.when(F.col("copy"), F.lit("")).otherwise(kept(F.when(F.col("copy"), F.lit("")).otherwise(body), F.when(F.col("copy"), F.array().cast("array<struct<lo:bigint,hi:bigint>>")).otherwise(F.col("spans")))))
-    if "n_chars" in documents.columns:
-        new = new.withColumn("n_chars", F.char_length("__new").cast(documents.schema["n_chars"].dataType))
-    new = new.withColumn(text, F.col("__new")).select(*[F.col(f"`{c}`") for c in documents.columns])
-    return untouched.unionByName(new)
+    touched = sift(documents, table.select(own_id), id_column)
+    untouched = sift(documents, table.select(own_id), id_column, inside=False)
+    met = touched.join(table, (F.col(f"`{id_column}`").cast("long") == F.col(own_id)) & (_tie(text) == F.col(own_tie)), "left")
+    loses, none = F.col(own_id).isNotNull(), F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    some = loses & ~F.coalesce(F.col(copy), F.lit(False))
+    cleaned = kept(F.when(some, _body(text)).otherwise(F.lit("")), F.when(some, F.col(spans)).otherwise(none))
+    done = met.withColumn(new, F.when(some, cleaned).when(loses, F.lit("")).otherwise(F.col(f"`{text}`").cast("string")))
+    out = []
+    for c in documents.columns:
+        if c == text:
+            out.append(F.col(new).cast(documents.schema[c].dataType).alias(c))
+        elif c == "n_chars":
+            out.append(F.when(loses, F.char_length(new).cast(documents.schema[c].dataType)).otherwise(F.col("`n_chars`")).alias(c))
+        else:
+            out.append(F.col(f"`{c}`"))
+    return untouched.unionByName(done.select(*out))

@@ -7,6 +7,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors live in the driver's own process (master local) gets a temporary folder;
+    on a cluster that folder would be lost on other machines, so there the setting has to be given.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sparkdoc-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like `names` that none of the taken ones clashes with, whatever its case."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        made = f"__{name}"
+        while made.lower() in known:
+            made += "_"
+        known.add(made.lower())
+        out.append(made)
+    return out
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, lost executors cost nothing.
 
@@ -185,11 +204,20 @@ def gather(df: DataFrame, size: int, dtype: str, add, combine: str = "add", piec
     return out
 
 
+#: Bits of the largest filter, as a power of two (16 MB), and the least bits a key that make a filter worth while.
+MOST_BITS, BITS_A_KEY = 27, 8
+
+
 class Bits:
     """A Bloom filter of bounded size over 64-bit keys: `holds` may say yes too often, never no wrongly."""
 
-    def __init__(self, expected: int, most_bits: int = 27, probes: int = 2):
-        self.bits = min(most_bits, max(13, int(max(expected, 1) * 12).bit_length()))
+    @staticmethod
+    def fits(expected: int) -> bool:
+        """Whether the largest filter still tells so many keys from others; beyond that callers join instead."""
+        return expected * BITS_A_KEY <= 1 << MOST_BITS
+
+    def __init__(self, expected: int, probes: int = 2):
+        self.bits = min(MOST_BITS, max(13, int(max(expected, 1) * 12).bit_length()))
         self.probes, self.array = probes, np.zeros(1 << (self.bits - 3), np.uint8)
 
     def _at(self, keys: np.ndarray) -> list[np.ndarray]:
@@ -215,15 +243,42 @@ class Bits:
         return self
 
 
+class Sieve:
+    """Rows of a table whose `key` may be in a one-column table of keys.
+
+    While the keys fit a filter of bounded size, `rows` is the whole table and `holds` has to be asked for each row; beyond
+    that `rows` is a semi-join and everything holds. Either way the cost is linear in the table.
+    """
+
+    def __init__(self, rows: DataFrame, keys: DataFrame, key: str = "doc_id", count: int | None = None):
+        name = keys.columns[0]
+        known = keys.select(F.col(f"`{name}`").cast("long").alias(key)).where(F.col(key).isNotNull())
+        n = known.count() if count is None else count
+        if Bits.fits(n):
+            self.rows, self.shared = rows, rows.sparkSession.sparkContext.broadcast(Bits(n).fill(known))
+        else:
+            self.rows, self.shared = rows.join(known.distinct(), key, "left_semi"), None
+
+    def test(self):
+        """A function of an array of keys, for tasks: which of them pass."""
+        shared = self.shared
+        return (lambda keys: np.ones(len(keys), bool)) if shared is None else (lambda keys: shared.value.holds(keys))
+
+
 def sift(df: DataFrame, ids: DataFrame, id_column: str = "doc_id", inside: bool = True) -> DataFrame:
     """Rows of df whose id is (inside) or is not in the one-column table ids; null ids never are.
 
     A Bloom filter of bounded size decides for most rows without a shuffle; only rows that it takes for members meet the
-    table itself.
+    table itself. More ids than such a filter holds are joined with all rows. Columns of df keep their names.
     """
     name = ids.columns[0]
-    bits = Bits(ids.count()).fill(ids.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").cast("long")))
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+    flag, own = fresh(df.columns, "maybe", "id")
+    key = F.col(f"`{id_column}`").cast("long")
+    members = ids.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").cast("long").alias(own)).distinct()
+    n = ids.count()
+    if not Bits.fits(n):
+        return df.join(members, key == F.col(own), "left_semi" if inside else "left_anti")
+    shared = df.sparkSession.sparkContext.broadcast(Bits(n).fill(members))
 
     @F.pandas_udf("boolean")
     def maybe(column):
@@ -231,8 +286,6 @@ def sift(df: DataFrame, ids: DataFrame, id_column: str = "doc_id", inside: bool
 
         return pd.Series(shared.value.holds(column.fillna(0).to_numpy(np.int64)) & column.notna().to_numpy())
 
-    key = F.col(f"`{id_column}`").cast("long")
-    flagged = df.withColumn("__maybe", maybe(key))
-    members = ids.select(F.col(f"`{name}`").cast("long").alias("__id")).distinct()
-    met = flagged.where("__maybe").join(members, key == F.col("__id"), "left_semi" if inside else "left_anti").drop("__maybe")
-    return met if inside else flagged.where("not __maybe").drop("__maybe").unionByName(met)
+    flagged = df.withColumn(flag, maybe(key))
+    met = flagged.where(F.col(flag)).join(members, key == F.col(own), "left_semi" if inside else "left_anti").drop(flag)
+    return met if inside else flagged.where(~F.col(flag)).drop(flag).unionByName(met)
