@@ -16,26 +16,30 @@ takes no further part; that is nearly every document without near copies. Tokens
 
 Copies (equal sets) form classes first and one member of each goes on. Clusters are what is asked for, so pairs inside
 an already connected component need no check: first each token's members are verified against one hub, then only
-members of different components against each other.
+members of different components against each other. The index is a table of postings: hubs come from an aggregate that
+combines before its shuffle, members meet their hub in a join that may split a token, and the squares of TOGETHER members
+in which a token's members of different components meet are dealt out singly. No task holds a token's members.
+
+Words are named by a BLAKE2 digest, so sets are equal or alike only if their words are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textnp import hash_runs, lower_ascii, words
-from .util import Bits, arrow_map, chunks, cut, flat, label_components, long_of, mix64
+from .textnp import digest_runs, lower_ascii, words
+from .util import Sieve, arrow_map, chunks, cut, flat, label_components, long_of, mix64, sift
 
 #: Salts of the token orders, the first one's being indexed.
 SALTS = (0x51, 0xA3, 0xE7)
-#: Tokens that one bucket holds, about; members of a token that are paired at a time; bytes of text in a chunk.
+#: Tokens that one bucket holds, about; members of a token in one block of its squares; bytes of text in a chunk.
 BUCKET, TOGETHER, CHUNK = 1_500_000, 2048, 2_000_000
 #: A token is frequent in a chunk if this share of its documents (and at least so many) hold it; how many frequent
 #: tokens are agreed on at most (a bound of what is broadcast: 0.8 MB), those of the most documents.
@@ -64,11 +68,18 @@ class Jaccard:
         need = self.overlap(a, b)
         return np.maximum(np.minimum(self.prefix(a) - (a - need), self.prefix(b) - (b - need)), 1)
 
+    def least_overlap(self, a: Column, b: Column) -> Column:
+        """`overlap` of two columns of sizes."""
+        return F.call_function("div", self.percent * (a + b) + F.lit(99 + self.percent), F.lit(100 + self.percent))
+
     def linked(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
-    def sizes_fit(self, a, b):
-        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+    def fit(self, one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+        """Whether two postings (n, place) of a token may belong to sets that are similar enough."""
+        a, b = one("n"), other("n")
+        need = self.least_overlap(a, b)
+        return (100 * F.least(a, b) >= self.percent * F.greatest(a, b)) & (one("place") <= a - need) & (other("place") <= b - need)
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +92,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     start, end, text = words(low, offsets)
     n = len(offsets) - 1
     count = np.bincount(text, minlength=n)
-    word = hash_runs(low, start, end)
+    word = digest_runs(low, start, end)
     first = np.concatenate(([0], np.cumsum(count)))
     width = np.minimum(count, k)
     tokens = np.maximum(count - k + 1, (count > 0).astype(np.int64))
@@ -103,10 +114,10 @@ def _rows(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     return documents.where(F.col(f"`{id_column}`").isNotNull()).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], k: int, wanted: Bits | None = None):
+def _parts(batches: Iterator[pa.RecordBatch], k: int, wanted=None):
     for batch in batches:
         if wanted is not None:
-            batch = batch.filter(pa.array(wanted.holds(long_of(batch.column(0)))))
+            batch = batch.filter(pa.array(wanted(long_of(batch.column(0)))))
         if not batch.num_rows:
             continue
         raw, offsets = flat(batch.column(1))
@@ -170,17 +181,16 @@ def features(rows: DataFrame, how: Jaccard) -> DataFrame:
     return arrow_map(rows, run, "kind int, doc_id long, n long, s1 long, s2 long")
 
 
-def prefixes(rows: DataFrame, wanted: Bits, total: int, frequent: np.ndarray, how: Jaccard) -> DataFrame:
+def prefixes(sieve: Sieve, total: int, frequent: np.ndarray, how: Jaccard) -> DataFrame:
     """doc, n, own (tokens that no other document holds: they come first) and for each order k the prefix tokens that
-    other documents hold too (`p0`, `p1`, ...; binary), for the documents that have any. `total`: tokens of all documents that `wanted` holds, about."""
-    spark = rows.sparkSession
+    other documents hold too (`p0`, `p1`, ...; binary), for the documents that have any. `total`: tokens of all documents that the sieve holds, about."""
     buckets = max(1, int(total // BUCKET) + 1)
-    sieve, often = spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(frequent)
+    wanted, often = sieve.test(), sieve.rows.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         chunk = (task.partitionId() if task else 0) << 24  # the same in every attempt of a task
-        for ids, tokens, bounds in _parts(batches, how.k, sieve.value):
+        for ids, tokens, bounds in _parts(batches, how.k, wanted):
             n = np.diff(bounds)
             of = np.repeat(np.arange(len(n)), n)
             last = _within(tokens, often.value)
@@ -283,7 +293,7 @@ def prefixes(rows: DataFrame, wanted: Bits, total: int, frequent: np.ndarray, ho
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", "chunk", "a", "b", "c"])
 
     schema = "bucket int, kind int, chunk long, a binary, b binary, c binary"
-    dealt = arrow_map(arrow_map(rows, deal, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket"), count, schema)
+    dealt = arrow_map(arrow_map(sieve.rows, deal, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket"), count, schema)
     back = dealt.repartition(max(buckets, 1), "chunk").sortWithinPartitions("chunk", F.col("kind").desc())
     return arrow_map(back, choose, "doc long, n long, own long, " + ", ".join(f"{p} binary" for p in _PREFIXES))
 
@@ -296,28 +306,26 @@ def join_components(documents: DataFrame, how: Jaccard, id_column: str = "doc_id
 
     Null texts and texts without words have no shingles and stand alone. Rows with a null id take no part. An id that
     repeats is one node: a link of any of its rows counts. Equal sets are linked whatever their texts. Other columns
-    are not read; an empty table gives none. What is broadcast has a fixed size: frequent tokens and Bloom filters
-    (16 MB at most) that only spare work. No group is ever collected: pairs of a token are formed in squares of
-    TOGETHER members.
+    are not read, whatever their names; an empty table gives none; texts of any length are read whole. What is broadcast
+    has a fixed size: frequent tokens and Bloom filters (16 MB at most) that only spare work; more keys than those hold are
+    joined. No group is ever collected: pairs of a token are formed in squares of TOGETHER members.
     """
     rows = _rows(documents, id_column, text)
     made = cut(features(rows, how))
     some = made.where("kind = 0 and n > 0")
     classes = cut(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    wanted = Bits(reps).fill(classes.select("rep"))
-    held = cut(prefixes(rows, wanted, total, frequent_tokens(made), how))
-    postings = held.agg(F.sum(F.octet_length("p0") / 8)).first()[0] or 0
-    buckets = max(1, int(postings // 400_000) + 1)
+    held = cut(prefixes(Sieve(rows, classes.select("rep"), count=reps), total, frequent_tokens(made), how))
 
     # 1: hubs
-    named = held.withColumn("comp", F.col("doc"))
-    pairs = cut(_indexed(named, buckets, how, hubs=True).distinct())
+    index = _index(held, how)
+    hubs = cut(index.groupBy("token").agg(F.min(F.struct("doc", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("token", "hub"))
+    met = index.join(hubs, "token").where((F.col("doc") != F.col("hub.doc")) & how.fit(F.col, lambda c: F.col(f"hub.{c}")))
+    pairs = cut(_pairs_of(met, F.col("doc"), F.col("hub.doc")))
     links = cut(_verified(rows, pairs, held, how))
     roots = label_components(links)
     # 2: members of different components that still share a token
-    named = held.join(roots, F.col("doc") == F.col("node"), "left").select("doc", "n", "own", "p0", F.coalesce("root", "doc").alias("comp"))
-    across = cut(_indexed(named, buckets, how, hubs=False).distinct().join(pairs, ["a", "b"], "left_anti"))
+    across = cut(_across(index, roots, how).join(pairs, ["a", "b"], "left_anti"))
     if across.limit(1).count():
         more = cut(_verified(rows, across, held, how))
         if more.limit(1).count():
@@ -327,89 +335,42 @@ def join_components(documents: DataFrame, how: Jaccard, id_column: str = "doc_id
     return member.unionByName(made.where("kind = 0 and n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _indexed(held: DataFrame, buckets: int, how: Jaccard, hubs: bool) -> DataFrame:
-    """Candidate pairs (a < b) of the inverted index: every member with its token's hub, or all pairs across components."""
+def _index(held: DataFrame, how: Jaccard) -> DataFrame:
+    """token, doc, n, place: the prefix tokens of the first order, without members that stand too late for even the
+    smallest partner in reach, and without tokens that one document has."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(2))
             count = np.diff(offsets) // 8
-            token = np.frombuffer(raw.tobytes(), np.uint64)
-            bucket = (token % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            place = np.repeat(long_of(batch.column(4)) - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            columns = [token[order], *(np.repeat(long_of(batch.column(c)), count)[order] for c in (0, 3)), np.repeat(long_of(batch.column(1)), count)[order].astype(np.int32), place[order].astype(np.int32)]
-            of, begin = np.unique(bucket[order], return_index=True)
-            cuts = np.append(begin, len(order))
-            if len(of):
-                yield pa.RecordBatch.from_arrays([pa.array(of), *(_binary(c, cuts) for c in columns)], names=["bucket", "token", "doc", "comp", "n", "place"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, at = [], None
-        for batch in batches:
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if bucket != at and rows:
-                    yield from _pairs(rows, how, hubs)
-                    rows = []
-                at = bucket
-                rows.append(row)
-        if rows:
-            yield from _pairs(rows, how, hubs)
-
-    packed = arrow_map(held.select("doc", "n", "p0", "comp", "own"), post, "bucket int, token binary, doc binary, comp binary, n binary, place binary")
-    return arrow_map(packed.repartition(max(1, min(buckets, 100_000)), "bucket").sortWithinPartitions("bucket"), meet, "a long, b long")
-
-
-def _pairs(held: list, how: Jaccard, hubs: bool) -> Iterator[pa.RecordBatch]:
-    token, doc, comp, n, place = (np.concatenate([np.frombuffer(r[c], t) for r in held]) for c, t in enumerate((np.uint64, np.int64, np.int64, np.int32, np.int32)))
-    order = np.lexsort((doc, token))
-    token, doc, comp, n, place = token[order], doc[order], comp[order], n[order].astype(np.int64), place[order].astype(np.int64)
-    if len(token):
-        # who stands too late for even the smallest partner in reach goes
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        smallest = np.repeat(np.minimum.reduceat(n, start), np.diff(np.append(start, len(token))))
-        reach = np.maximum(smallest, -(-how.percent * n // 100))
-        early = place <= n - how.overlap(n, reach)
-        token, doc, comp, n, place = token[early], doc[early], comp[early], n[early], place[early]
-
-    def fit(i, j):
-        need = how.overlap(n[i], n[j])
-        return (comp[i] != comp[j]) & (doc[i] != doc[j]) & how.sizes_fit(n[i], n[j]) & (place[i] <= n[i] - need) & (place[j] <= n[j] - need)
-
-    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(token)))
-    out: list[np.ndarray] = []
-    if hubs:
-        hub, each = np.repeat(start, size), np.arange(len(token))
-        good = fit(hub, each)
-        out.append(np.stack((doc[hub[good]], doc[each[good]])))
-    elif len(start):
-        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-        small = np.repeat(mixed & (size <= 64), size)
-        for shift in range(1, int(size[mixed & (size <= 64)].max(initial=1))):  # all small groups at once
-            i = np.flatnonzero(small[:-shift] & (token[:-shift] == token[shift:]))
-            i = i[fit(i, i + shift)]
-            out.append(np.stack((doc[i], doc[i + shift])))
-        for s, m in zip(start[mixed & (size > 64)].tolist(), size[mixed & (size > 64)].tolist(), strict=True):
-            for x in range(s, s + m, TOGETHER):
-                for y in range(x, s + m, TOGETHER):
-                    i, j = np.arange(x, min(x + TOGETHER, s + m))[:, None], np.arange(y, min(y + TOGETHER, s + m))[None]
-                    i, j = np.nonzero(fit(i, j) & (i < j))
-                    out.append(np.stack((doc[i + x], doc[j + y])))
-                    if sum(o.shape[1] for o in out) > 1_000_000:
-                        yield _distinct(out)
-                        out = []
-    if out and sum(o.shape[1] for o in out):
-        yield _distinct(out)
-
-
-def _distinct(out: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = np.concatenate(out, axis=1)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+            place = np.repeat(long_of(batch.column(3)) - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            columns = [np.frombuffer(raw.tobytes(), np.int64), *(np.repeat(long_of(batch.column(c)), count) for c in (0, 1)), place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "doc", "n", "place"])
+
+    postings = cut(arrow_map(held.select("doc", "n", "p0", "own"), post, "token long, doc long, n long, place long"))
+    least = cut(postings.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("token", "least"))
+    n = F.col("n")
+    reach = F.greatest(F.col("least"), F.call_function("div", how.percent * n + 99, F.lit(100)))
+    early = F.col("place") <= n - how.least_overlap(n, reach)
+    return cut(postings.join(least, "token").where(early).select("token", "doc", "n", "place"))
+
+
+def _pairs_of(df: DataFrame, x: Column, y: Column) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _across(index: DataFrame, roots: DataFrame, how: Jaccard) -> DataFrame:
+    """Candidate pairs a < b of different components, from every token whose members lie in several."""
+    named = cut(index.join(roots.distinct(), F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "place", F.coalesce("root", "doc").alias("comp")))
+    mixed = cut(named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("token", F.ceil(F.col("members") / TOGETHER).cast("int").alias("blocks")))
+    # a token's members lie in blocks; each pair of blocks is a square of its own
+    blocked = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    packed = F.struct("doc", "n", "place", "comp")
+    left = blocked.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), packed.alias("l"))
+    right = blocked.select("token", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), packed.alias("r"))
+    once = (F.col("i") < F.col("j")) | (F.col("l.doc") < F.col("r.doc"))
+    met = left.join(right, ["token", "i", "j"]).where((F.col("l.comp") != F.col("r.comp")) & (F.col("l.doc") != F.col("r.doc")) & once & how.fit(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}")))
+    return _pairs_of(met, F.col("l.doc"), F.col("r.doc"))
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, held: DataFrame, how: Jaccard) -> DataFrame:
@@ -431,13 +392,14 @@ def _verified(rows: DataFrame, pairs: DataFrame, held: DataFrame, how: Jaccard)
 
     left = cut(arrow_map(met, intersect, "a long, b long").distinct())
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    wanted = rows.sparkSession.sparkContext.broadcast(Bits(ids.count()).fill(ids))  # sieves texts; what slips through joins nothing
+    sieve = Sieve(rows, ids)  # what slips through joins nothing
+    wanted = sieve.test()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids_, tokens, bounds in _parts(batches, how.k, wanted.value):
+        for ids_, tokens, bounds in _parts(batches, how.k, wanted):
             yield pa.RecordBatch.from_arrays([pa.array(ids_), _binary(tokens, bounds)], names=["id", "tokens"])
 
-    whole = cut(arrow_map(rows, sets, "id long, tokens binary"))
+    whole = cut(arrow_map(sieve.rows, sets, "id long, tokens binary"))
     of = lambda name: whole.select(F.col("id").alias(name), F.col("tokens").alias(f"{name}_set"))
     both = left.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_set", "b_set")
 
@@ -459,9 +421,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def drop_near_copies(documents: DataFrame, how: Jaccard = Jaccard(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents, whole rows and all columns, with one document of each component: the smallest id."""
-    from .util import sift
-
+    """documents, whole rows and all columns, with one document of each component: the smallest id. Rows with a null id and
+    texts without words stay; rows that repeat an id stay or go together; columns of any name stay."""
     groups = join_components(documents, how, id_column, text)
     gone = cut(groups.where("doc_id <> component_id").select("doc_id").distinct())
     return sift(documents, gone, id_column, inside=False)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tables: dict[str, np.ndarray] = {}
@@ -57,3 +60,17 @@ def hash_runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
         plain = (sums[end] - sums[start]) * down[start]
         return mix64(plain ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+
+
+def digest_runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit BLAKE2 digest of each run of bytes; each distinct run is digested once."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[start] += 1
+    np.subtract.at(edge, end, 1)
+    data = raw[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    bounds = np.concatenate(([0], np.cumsum(end - start)))
+    runs = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
+    known = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in runs.dictionary.to_pylist()), np.uint64)
+    return known[runs.indices.to_numpy()]

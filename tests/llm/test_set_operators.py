@@ -305,3 +305,35 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r.doc_id for r in kept["bpe"]) == times
     assert all(list(r.ids) == reference.encode_ordinary(cleaned[r.doc_id] or "") for r in kept["bpe"])
     assert sorted(r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r.ids_sha256 for r in kept["bpe"])
+
+
+@pytest.mark.parametrize("bits", [27, 3])
+def test_one_family_of_near_copies(spark, monkeypatch, bits):
+    """A third of all rows alike but unequal: blocks of few members and filters too small for anything."""
+    from sparkdoc.llm import util
+
+    monkeypatch.setattr(ngram_join, "TOGETHER", 4)
+    monkeypatch.setattr(util, "MOST_BITS", bits)
+    rng = np.random.default_rng(12)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    base = list(rng.choice(vocabulary, 120))
+    texts = {}
+    for i in range(150):
+        words = base.copy() if i % 3 == 0 else list(rng.choice(vocabulary, 60))
+        for _ in range(int(rng.integers(1, 6))):
+            words[int(rng.integers(len(words)))] = f"own{i}" if rng.random() < 0.5 else "shared"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    how = ngram_join.Jaccard(4, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(df, how).collect()}
+    assert got == components(texts, 4, 85)
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    """Thue-Morse words of 4096 letters have equal polynomials modulo 2^64; digests tell them apart."""
+    x, y = "a", "b"
+    for _ in range(12):
+        x, y = x + y, y + x
+    df = spark.createDataFrame([(1, f"one two three {x} four"), (2, f"one two three {y} four"), (3, f"one two three {x} four")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join_components(df, ngram_join.Jaccard(4, 85)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
