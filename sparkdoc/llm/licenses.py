@@ -17,23 +17,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import LINES, SPDX_LINES, TEXTS
 from .util import arrow_map
 
-# Four one-line notices, the Apache header, and excerpts of the others: mit, isc and gpl-3.0-header end before
-# the public texts do.
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "mit-line": "Released under the MIT License.",
-    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.""",
-}
+TEMPLATES = {**TEXTS, **LINES, **SPDX_LINES}
 
 #: Least share of a template that counts as found; least share of its length that a stretch must hold of its words.
 COVERAGE, DENSITY = 0.8, 0.6
+#: Templates of more words than this are tried from every eighth of their length on, shorter ones from every word.
+LONG = 400
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -91,16 +83,26 @@ def patience(text: list, template: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, density: float = DENSITY):
-        self.coverage, self.density = coverage, density
+    """`whole`: names of templates of which every word has to be there, in order and with nothing between."""
+
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, density: float = DENSITY, whole: frozenset[str] = frozenset(SPDX_LINES)):
+        self.coverage, self.density, self.whole = coverage, density, whole
         self.names = list(templates)
         self.texts = [words_of(t) for t in templates.values()]
         vocabulary = sorted({w for t in self.texts for w in t})
         self.number = {w: k for k, w in enumerate(vocabulary)}
         self.coded = [[self.number[w] for w in t] for t in self.texts]
         self.member = np.zeros((len(self.texts), len(vocabulary) + 1), bool)
+        self.spare = np.zeros((len(self.texts), len(vocabulary)), np.int32)  # how often a template has each word
         for k, t in enumerate(self.coded):
             self.member[k, t] = True
+            self.spare[k] = np.bincount(t, minlength=len(vocabulary))
+        self.need = np.array([self.least(k) for k in range(len(self.coded))])
+
+    def least(self, k: int) -> int:
+        """Words of template k that have to be matched."""
+        n = len(self.coded[k])
+        return n if self.names[k] in self.whole else max(1, int(np.ceil(self.coverage * n - 1e-9)))
 
     def stretches(self, hit: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
         """Stretches of the document that windows dense in the template's words cover, with room at both ends; windows
@@ -119,19 +121,20 @@ class Scanner:
         for first, last in zip(dense[np.concatenate(([0], breaks + 1))].tolist(), dense[np.concatenate((breaks, [len(dense) - 1]))].tolist(), strict=True):
             yield max(0, first - room), min(n, last + length + room)
 
-    def copies(self, text: list[int], template: list[int]) -> Iterator[list[tuple[int, int]]]:
+    def copies(self, text: list[int], template: list[int], need: int) -> Iterator[list[tuple[int, int]]]:
         """Alignments of the template that reach the coverage, disjoint: the best of all places first, then what is left
         on either side of it.
 
-        Every word is tried as the start of a short and a long window. A window's words counted against the template's bound what
-        any alignment in it can match, so that the search goes down by bounds and stops below the best match.
+        Every word is tried as the start of a short and a long window; of templates beyond LONG words every eighth of their
+        length, which puts a copy of up to 11/8 of it wholly into some window. A window's words counted against the template's
+        bound what any alignment in it can match, so that the search goes down by bounds and stops below the best match.
         """
         length = len(template)
-        width, need = length + 2 * (length // 4), max(1, int(np.ceil(self.coverage * length - 1e-9)))
+        width, grid = length + 2 * (length // 4), 1 if length <= LONG else length // 8
         todo = [(0, len(text))]
         while todo:
             lo, hi = todo.pop()
-            starts = [x for x in self.bounds(text, template, lo, hi, width) if x[0] >= need]
+            starts = [x for x in self.bounds(text, template, lo, hi, width) if x[0] >= need and (x[1] - lo) % grid == 0]
             starts.sort(key=lambda x: (-x[0], x[1]))
             best: tuple | None = None
             for bound, at in starts:
@@ -169,13 +172,16 @@ class Scanner:
         """(template, coverage, matched words, first word, end word) of every stretch that holds a template."""
         found = words_of(text)
         codes = np.fromiter((self.number.get(w, -1) for w in found), np.int32, len(found))
-        if not (codes >= 0).any():
-            return []
+        held = np.bincount(codes[codes >= 0], minlength=self.spare.shape[1])
+        # a template whose words the text does not even hold, in whatever order, is not in it
         out = []
-        for k, template in enumerate(self.coded):
+        for k in np.flatnonzero(np.minimum(self.spare, held).sum(1) >= self.need).tolist():
+            template = self.coded[k]
             hit = self.member[k, codes]
             for lo, hi in self.stretches(hit, len(template)):
-                for matched in self.copies(codes[lo:hi].tolist(), template):
+                for matched in self.copies(codes[lo:hi].tolist(), template, int(self.need[k])):
+                    if self.names[k] in self.whole and matched[-1][0] - matched[0][0] >= len(template):
+                        continue
                     out.append((self.names[k], len(matched) / len(template), len(matched), lo + matched[0][0], lo + matched[-1][0] + 1))
         # longer matches first; a shorter template inside a stretch already explained is not reported again
         out.sort(key=lambda x: (-x[2], -x[1], x[3], x[0]))
@@ -190,9 +196,11 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, id_col
     """doc_id, n_licenses, license (the longest match's template, null if none), coverage, matched, first_word,
     end_word, and matches: all of them in the order of the text.
 
-    Coverage and end_word are those of the template, which for mit, isc and gpl-3.0-header is an excerpt of the licence.
-    Whole texts are scanned. Null and empty texts have no license; a license given twice is found twice; repeated rows
-    are scanned alike; other columns are not read. No shuffle; memory is one Arrow batch and one document.
+    Templates are whole public texts, their notices for source files, one-line notices and SPDX lines (`license_texts`).
+    Whole texts are scanned, however long: the time of one grows with its length and with the stretches of it that are dense in
+    a template's words. Null and empty texts have no license; a license given twice is found twice; of equally long
+    matches the first counts as the license; repeated rows are scanned alike; null ids come back; other columns are not
+    read, whatever their names; an empty table gives none. No shuffle; memory is one Arrow batch and one document.
     """
     scanner = Scanner(templates or TEMPLATES)
     shared = df.sparkSession.sparkContext.broadcast(scanner)
