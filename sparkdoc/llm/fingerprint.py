@@ -57,16 +57,18 @@ def id_buckets(df: DataFrame, key: str, rows: int) -> tuple[list[int], int, int]
     return sorted({c for c in found["cuts"] or [] if c < found["hi"]}), found["lo"], found["hi"]
 
 
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below the key: a two-level search through literals."""
+def bucket_of(key: Column, bounds: list[int]) -> tuple[Column, Column]:
+    """(how many bounds lie below the key, the bound that follows them or null): a two-level search through literals."""
     if not bounds:
-        return F.lit(0)
+        return F.lit(0), F.lit(None).cast("long")
     step = max(1, math.isqrt(len(bounds)))
     parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     as_array = lambda xs: F.array(*[F.lit(x) for x in xs])
     below = lambda xs: F.size(F.filter(xs, lambda b: b < key))
     outer = below(as_array([p[-1] for p in parts]))  # parts that lie wholly below
-    return F.when(outer < len(parts), outer * step + below(F.get(F.array(*[as_array(p) for p in parts]), outer))).otherwise(F.lit(len(bounds)))
+    part = F.get(F.array(*[as_array(p) for p in parts]), outer)
+    inner = below(part)
+    return F.when(outer < len(parts), outer * step + inner).otherwise(F.lit(len(bounds))), F.when(outer < len(parts), F.get(part, inner)).cast("long")
 
 
 def likeness(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,8 +89,8 @@ def likeness(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     rows = ids.count()
     bounds, _, last = id_buckets(ids, "key", rows)
     # a row also goes, as a ghost, into the range that starts after it; the greatest id goes before the first range
-    home = bucket_of(F.col("key"), bounds)
-    ghosts = F.when(F.col("key").isin(bounds) if len(bounds) < 200 else F.array_contains(F.array(*[F.lit(b) for b in bounds]), F.col("key")), F.array(home + 1)).otherwise(F.array().cast("array<int>")) if bounds else F.array().cast("array<int>")
+    home, bound = bucket_of(F.col("key"), bounds)
+    ghosts = F.when(F.coalesce(bound == F.col("key"), F.lit(False)), F.array(home + 1)).otherwise(F.array().cast("array<int>"))
     wrap = F.when(F.col("key") == F.lit(last), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     places = F.concat(
         F.array(F.struct(home.cast("int").alias("bucket"), F.lit(2).alias("part"))),

@@ -166,18 +166,27 @@ def draw(rows: DataFrame, plan: DataFrame, identity: list[str], how: Mix = Mix()
 
 def mixed_words(docs: DataFrame, how: Mix = Mix(), id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """For every document: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats
-    counted), shards (where its copies go). A null text has size 0; documents without words ride with their block."""
-    base = sized(docs, [id_column], text, source)
-    drawn = draw(base, plan_mix(base, [id_column], how), [id_column], how)
+    counted), shards (where its copies go).
+
+    A null text has size 0; documents without words ride with their block. Null is a source of its own; a source without
+    words has target 0. Documents that repeat an id are drawn alike, be their texts alike or not; null ids likewise. Texts of
+    any length are counted whole: a source's words come near its target by half a document's size. Other columns are not
+    read, whatever their names; an empty table gives none.
+    """
+    base = sized(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source")), ["id"])
+    drawn = draw(base, plan_mix(base, ["id"], how), ["id"], how)
     return drawn.select(
-        F.col(f"`{id_column}`").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        F.col("id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         (F.size("__draws") * F.col("__size")).cast("long").alias("taken"), F.transform("__draws", lambda d: d["shard"]).alias("shards"),
     )
 
 
-def mixed_documents(docs: DataFrame, how: Mix = Mix(), id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: docs' rows, each as often as it is drawn, with __shard and __order (sort by it within the shard)."""
-    keep = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")]
-    plan = plan_mix(sized(docs, [id_column], text, source), [id_column], how)
-    rows = docs.select(*keep, F.col(f"`{source}`").cast("string").alias("__source"))
-    return draw(rows, plan, [id_column], how).withColumn("__draw", F.explode("__draws")).select(*keep, F.col("__draw.shard").alias("__shard"), F.col("__draw.order").alias("__order"))
+def mixed_documents(docs: DataFrame, how: Mix = Mix(), id_column: str = "doc_id", text: str = "text", source: str = "source", shard: str = "__shard", order: str = "__order") -> DataFrame:
+    """The mix itself: docs' rows with all their columns, each as often as it is drawn, with the columns `shard` and `order`
+    (sort by it within the shard); columns of docs with those two names are replaced. Nulls, empty texts, repeats, long texts
+    and empty tables as in `mixed_words`."""
+    keep = [c for c in docs.columns if c.lower() not in (shard.lower(), order.lower())]
+    named = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").cast("string").alias("__source"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    plan = plan_mix(sized(named.select("id", "text", "__source"), ["id"], source="__source"), ["id"], how)
+    drawn = draw(named, plan, ["id"], how).withColumn("__draw", F.explode("__draws"))
+    return drawn.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("__draw.shard").alias(shard), F.col("__draw.order").alias(order))
