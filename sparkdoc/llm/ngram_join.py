@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textnp import digest_runs, lower_ascii, words
-from .util import Sieve, arrow_map, chunks, cut, flat, label_components, long_of, mix64, sift
+from .util import Sieve, arrow_map, chunks, cut, flat, label_components, long_of, mix64, packed, sift
 
 #: Salts of the token orders, the first one's being indexed.
 SALTS = (0x51, 0xA3, 0xE7)
@@ -126,12 +126,6 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, wanted=None):
             yield ids[lo:hi], *shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
 
 
-def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """values cut at bounds, as a binary column."""
-    width = values.dtype.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
-
-
 def _planes(values: np.ndarray) -> bytes:
     """Whole numbers as byte planes of the least width that holds them; high planes of zeros compress away."""
     width = 4 if not len(values) or int(values.max()) < 1 << 32 else 8
@@ -285,7 +279,7 @@ def prefixes(sieve: Sieve, total: int, frequent: np.ndarray, how: Jaccard) -> Da
             order = np.lexsort((mix64(tokens ^ np.uint64(salt)), counts, of))
             rank = np.arange(len(order)) - bounds[of[order]]
             picked = order[rank < take[of[order]]]
-            columns.append(_binary(tokens[picked], np.concatenate(([0], np.cumsum(take[chosen_])))))
+            columns.append(packed(tokens[picked], np.concatenate(([0], np.cumsum(take[chosen_])))))
         yield pa.RecordBatch.from_arrays([pa.array(ids[chosen_]), pa.array(n[chosen_]), pa.array((n - shared)[chosen_]), *columns], names=["doc", "n", "own", *_PREFIXES])
 
     def _row(*columns) -> pa.RecordBatch:
@@ -365,9 +359,9 @@ def _across(index: DataFrame, roots: DataFrame, how: Jaccard) -> DataFrame:
     mixed = cut(named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("token", F.ceil(F.col("members") / TOGETHER).cast("int").alias("blocks")))
     # a token's members lie in blocks; each pair of blocks is a square of its own
     blocked = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    packed = F.struct("doc", "n", "place", "comp")
-    left = blocked.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), packed.alias("l"))
-    right = blocked.select("token", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), packed.alias("r"))
+    member = F.struct("doc", "n", "place", "comp")
+    left = blocked.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), member.alias("l"))
+    right = blocked.select("token", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), member.alias("r"))
     once = (F.col("i") < F.col("j")) | (F.col("l.doc") < F.col("r.doc"))
     met = left.join(right, ["token", "i", "j"]).where((F.col("l.comp") != F.col("r.comp")) & (F.col("l.doc") != F.col("r.doc")) & once & how.fit(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}")))
     return _pairs_of(met, F.col("l.doc"), F.col("r.doc"))
@@ -397,7 +391,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, held: DataFrame, how: Jaccard)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids_, tokens, bounds in _parts(batches, how.k, wanted):
-            yield pa.RecordBatch.from_arrays([pa.array(ids_), _binary(tokens, bounds)], names=["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids_), packed(tokens, bounds)], names=["id", "tokens"])
 
     whole = cut(arrow_map(sieve.rows, sets, "id long, tokens binary"))
     of = lambda name: whole.select(F.col("id").alias(name), F.col("tokens").alias(f"{name}_set"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Bits, Sieve, arrow_map, chunks, cut, flat, fresh, long_of, mix64, sift
+from .util import Bits, Sieve, arrow_map, chunks, cut, flat, fresh, long_of, mix64, packed, sift
 
 LENGTH, GRAM = 100, 24
 #: Bytes of contexts in one suffix array and bytes of input for one bucket, about; occurrences from which an anchor is
@@ -540,7 +540,8 @@ def _hot_spans(rows: DataFrame, picked, buckets: int, length: int) -> DataFrame:
     many = spark.sparkContext.broadcast(Bits(how_many, probes=3).fill(found.select("h")) if Bits.fits(how_many) else None)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: distinct strings of a batch for a bucket, with their first occurrences; kind 1: all occurrences."""
+        """Distinct strings of a batch for a bucket, with their first occurrences; and, without a bucket, each distinct string
+        with all its occurrences in the batch."""
         for ids, ties, raw, offsets, hashed, start in strings(batches):
             if many.value is not None:
                 keep = many.value.holds(hashed.view(np.int64))
@@ -557,11 +558,11 @@ def _hot_spans(rows: DataFrame, picked, buckets: int, length: int) -> DataFrame:
             bucket = (hashed[one] % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             made = [(int(bucket[g[0]]), known[g].tobytes(), b"".join(bytes(view[s : s + length]) for s in start[one[g]].tolist()), times[g].astype(np.int64).tobytes(), doc[one[g]].tobytes(), tie[one[g]].tobytes(), place[one[g]].astype(np.int32).tobytes()) for g in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)]
-            none = pa.nulls(len(made), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), *(pa.array([r[k] for r in made], pa.binary()) for k in range(1, 7)), none, none, none, none, none], names=_DEALT)
-            hi, lo = names.view(np.int64).reshape(-1, 2).T
-            empty, nobody = pa.nulls(len(start), pa.binary()), pa.nulls(len(start), pa.int32())
-            yield pa.RecordBatch.from_arrays([nobody, *[empty] * 6, *(pa.array(np.ascontiguousarray(c.astype(np.int64))) for c in (hi, lo, doc, tie, place))], names=_DEALT)
+            none, number = pa.nulls(len(made), pa.binary()), pa.nulls(len(made), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), *(pa.array([r[k] for r in made], pa.binary()) for k in range(1, 7)), number, number, none, none, none], names=_DEALT)
+            hi, lo = np.ascontiguousarray(known).view(np.int64).reshape(-1, 2).T
+            bounds = np.concatenate(([0], np.cumsum(times)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(known), pa.int32()), *[pa.nulls(len(known), pa.binary())] * 6, pa.array(np.ascontiguousarray(hi)), pa.array(np.ascontiguousarray(lo)), *(packed(c[order].astype(np.int64), bounds) for c in (doc, tie, place))], names=_DEALT)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = Strings(length), None
@@ -581,13 +582,22 @@ def _hot_spans(rows: DataFrame, picked, buckets: int, length: int) -> DataFrame:
         if at is not None:
             yield from flush()
 
-    dealt = cut(arrow_map(rows, deal, "bucket int, " + ", ".join(f"{c} binary" for c in _DEALT[1:7]) + ", " + ", ".join(f"{c} long" for c in _DEALT[7:])))
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of all occurrences but the first."""
+        for batch in batches:
+            (doc, offsets), (tie, _), (at, _) = (flat(batch.column(c)) for c in range(3))
+            doc, tie, at = (np.frombuffer(c.tobytes(), np.int64) for c in (doc, tie, at))
+            first = [np.repeat(long_of(batch.column(c)), np.diff(offsets) // 8) for c in (3, 4, 5)]
+            gone = (doc != first[0]) | (tie != first[1]) | (at != first[2])
+            if gone.any():
+                yield _spans((doc[gone], tie[gone], at[gone], at[gone] + length))
+
+    dealt = cut(arrow_map(rows, deal, "bucket int, " + ", ".join(f"{c} binary" for c in _DEALT[1:7]) + ", hi long, lo long, docs binary, doc_ties binary, places binary"))
     distinct = dealt.where("bucket is not null").select(*_DEALT[:7])
     # a table of its own: a join of two plain exchanges, of which Spark can split a string of any number of occurrences
     firsts = cut(arrow_map(distinct.repartition(buckets, "bucket").sortWithinPartitions("bucket"), sort, "hi long, lo long, first_doc long, first_tie long, first_place long"))
-    met = dealt.where("bucket is null").select("hi", "lo", "doc_id", "tie", "at").join(firsts, ["hi", "lo"])
-    later = met.where(~((F.col("doc_id") == F.col("first_doc")) & (F.col("tie") == F.col("first_tie")) & (F.col("at") == F.col("first_place"))))
-    return later.select("doc_id", "tie", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    met = dealt.where("bucket is null").select("hi", "lo", "docs", "doc_ties", "places").join(firsts, ["hi", "lo"])
+    return arrow_map(met.select("docs", "doc_ties", "places", "first_doc", "first_tie", "first_place"), later, _SPANS)
 
 
 def _with_own_anchors(rows: DataFrame, wanted, found: DataFrame, length: int, gram: int) -> DataFrame:
@@ -625,7 +635,7 @@ def _spans(made: tuple) -> pa.RecordBatch:
 
 
 _FIELDS = ("names", "hashed", "size", "body", "which", "doc", "ties", "place")
-_DEALT = ["bucket", "names", "body", "times", "doc", "ties", "place", "hi", "lo", "doc_id", "tie", "at"]
+_DEALT = ["bucket", "names", "body", "times", "doc", "ties", "place", "hi", "lo", "docs", "doc_ties", "places"]
 _SPANS = "doc_id long, tie long, lo long, hi long"
 
 

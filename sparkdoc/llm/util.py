@@ -76,6 +76,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """values cut at bounds, as a binary column."""
+    width = values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
 #: Bytes of one Arrow batch, about: two workers and the JVM's buffers share an executor's memory.
 BATCH = 16 << 20
 
