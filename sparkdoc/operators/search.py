@@ -1,8 +1,11 @@
 """Search stages: text clauses with scores, facets, highlights, exact vector search, and classic `$text`.
 
-Texts are tokenised once into hidden array columns (decomposed, marks removed, lower case, runs of word characters);
-clauses are predicates and scores over those arrays, all on the JVM. Ranking is a sort on the negated score and the id's
-text, so a following `$limit` is a bounded top-k.
+Texts are folded (decomposed, marks removed, lower case); ASCII texts, where that is lower case alone, take a short way.
+Words, phrases and beginnings of words are counted by patterns over the folded text, which find whole tokens without making
+any; clauses that look at tokens themselves (slop, fuzzy and sequential completion, analysed fields) get arrays of them, and
+only in texts that hold the query's words at all where that is necessary. Everything runs on the JVM. Ranking is a sort on
+the negated score and the id's text, so a following `$limit` is a bounded top-k; what is sorted has been exchanged before, so
+that the sort's sample does not search a second time.
 """
 
 from __future__ import annotations
@@ -38,11 +41,40 @@ def plain_tokens(text: str, case_sensitive: bool = False, diacritic_sensitive: b
 
 
 def folded(text: Column, case_sensitive: bool = False, diacritic_sensitive: bool = False) -> Column:
+    plain = text
     if not diacritic_sensitive:
-        text = F.regexp_replace(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True)), r"\p{M}+", "")
+        ascii_only = F.octet_length(text) == F.char_length(text)
+        text = F.when(ascii_only, text).otherwise(F.regexp_replace(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), plain, F.lit(True)), r"\p{M}+", ""))
     return text if case_sensitive else F.lower(text)
 
 
+#: Keeps the texts of an array apart in one string: no word character, and no part of a phrase.
+APART = "\u0001"
+
+
+def word_pattern(word: str) -> str:
+    """Matches a whole token: the literal first, so that texts are searched for it before anything else is looked at."""
+    return rf"(?U){_literal(word)}(?!\w)(?<!\w{_literal(word)})"
+
+
+def prefix_pattern(word: str) -> str:
+    return rf"(?U){_literal(word)}(?<!\w{_literal(word)})"
+
+
+def phrase_pattern(words: list[str]) -> str:
+    """Matches the first token of a phrase where the others follow, each start on its own."""
+    rest = "".join(rf"[^\w{APART}]+{_literal(w)}(?!\w)" for w in words[1:])
+    return word_pattern(words[0]) + (rf"(?={rest})" if rest else "")
+
+
+def _literal(word: str) -> str:
+    return re.sub(r"([^\w])", r"\\\1", word)
+
+
+def count_of(folded_text: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_count(folded_text, F.lit(pattern)), F.lit(0))
+
+
 def tokens_of(folded_text: Column) -> Column:
     return F.regexp_extract_all(folded_text, F.lit(WORD), F.lit(0))
 
@@ -81,6 +113,7 @@ class Compiler:
     index: Index
     scope: Scope
     columns: dict[str, tuple[str, str, str]] = field(default_factory=dict)
+    whole: dict[str, str] = field(default_factory=dict)
 
     def paths(self, spec: Any) -> list[str]:
         if spec is None or spec == {"wildcard": "*"}:
@@ -95,14 +128,31 @@ class Compiler:
                 return None
             k = len(self.columns)
             names = (f"__sd_x{k}", f"__sd_y{k}", f"__sd_z{k}")
-            # a text is folded on its own: marks and case do not depend on its neighbours; U+0001 keeps them apart
-            joined = F.array_join(texts, "\u0001")
-            self.df = self.df.withColumn(names[0], texts).withColumn("__sd_j", folded(joined))
-            self.df = self.df.withColumn(names[1], F.when(F.size(names[0]) > 0, F.split("__sd_j", "\u0001")).otherwise(F.array().cast("array<string>"))).drop("__sd_j")
+            own = self.text(path)
+            self.df = self.df.withColumn(names[0], texts)
+            self.df = self.df.withColumn(names[1], F.when(F.size(names[0]) > 0, F.split(own, APART)).otherwise(F.array().cast("array<string>")))
             self.df = self.df.withColumn(names[2], F.transform(names[1], tokens_of))
             self.columns[path] = names
         return tuple(F.col(n) for n in self.columns[path])
 
+    def text(self, path: str) -> Column | None:
+        """All texts of a path, folded, as one hidden string column. A text is folded on its own: marks and case do not
+        depend on its neighbours."""
+        if path not in self.whole:
+            e = resolve(self.scope, path)
+            texts = texts_of(e)
+            if texts is None:
+                return None
+            self.whole[path] = f"__sd_w{len(self.whole)}"
+            self.df = self.df.withColumn(self.whole[path], folded(e.col if is_string(e.type) else F.array_join(texts, APART)))
+        return F.col(self.whole[path])
+
+    def counts(self, spec: Any, patterns: dict[str, float]) -> Column:
+        """Sum over paths of how often patterns match, each by its weight."""
+        found = [t for t in map(self.text, self.paths(spec)) if t is not None]
+        parts = [count_of(t, p) * F.lit(float(w)) for t in found for p, w in patterns.items()]
+        return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+
     def each(self, spec: Any, score: Any) -> Column:
         """Sum over paths of a score of (texts, folded texts, token lists)."""
         parts = [score(*m) for m in map(self.materialise, self.paths(spec)) if m is not None]
@@ -128,16 +178,10 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def occurrences(tokens: Column, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == word))
-
-
 def _text(spec: dict, c: Compiler) -> Clause:
     terms = _terms(spec)
     # each occurrence of a token counts as often as the query has the term
-    weights = {t: terms.count(t) for t in terms}
-    one = lambda tokens: reduce(lambda a, b: a + b, [occurrences(tokens, w) * F.lit(float(n)) for w, n in weights.items()])
-    score = c.each(spec.get("path"), lambda _, __, lists: one(F.flatten(lists)))
+    score = c.counts(spec.get("path"), {word_pattern(t): terms.count(t) for t in terms})
     return Clause(score > 0, score)
 
 
@@ -161,14 +205,15 @@ def _phrase_score(tokens: Column, terms: list[str], slop: int) -> Column:
     return F.when(F.size(tokens) >= len(terms), found).otherwise(0.0)
 
 
-def holds_phrase(lists: Column, words: list[str]) -> Column:
-    return F.exists(lists, lambda tokens: _phrase_score(tokens, words, 0) > 0)
-
-
 def _phrase(spec: dict, c: Compiler) -> Clause:
     terms, slop = _terms(spec), spec.get("slop", 0)
+    if slop == 0:
+        score = c.counts(spec.get("path"), {phrase_pattern(terms): 1})
+        return Clause(score > 0, score)
+    there = reduce(lambda a, b: a & b, [c.counts(spec.get("path"), {word_pattern(t): 1}) > 0 for t in terms])
     score = c.each(spec.get("path"), lambda _, __, lists: total(F.transform(lists, lambda tokens: _phrase_score(tokens, terms, slop))))
-    return Clause(score > 0, score)
+    score = F.when(there, score).otherwise(0.0)
+    return Clause(there & (score > 0), score)
 
 
 def _autocomplete(spec: dict, c: Compiler) -> Clause:
@@ -176,6 +221,14 @@ def _autocomplete(spec: dict, c: Compiler) -> Clause:
     order, mode = spec.get("tokenOrder", "any"), spec.get("scoreMode", "frequency")
     if order not in ("any", "sequential") or mode not in ("frequency", "binary"):
         raise QueryError("autocomplete takes tokenOrder any or sequential and scoreMode frequency or binary")
+    if spec.get("fuzzy") is None and order == "any":
+        parts = []
+        for text in (t for t in map(c.text, c.paths(spec.get("path"))) if t is not None):
+            hits_of = [count_of(text, prefix_pattern(w)) for w in terms]
+            summed = reduce(lambda a, b: a + b, hits_of).cast("double") if mode == "frequency" else F.lit(float(len(terms)))
+            parts.append(F.when(reduce(lambda a, b: a & b, [h > 0 for h in hits_of]), summed).otherwise(0.0))
+        best = F.greatest(*parts) if len(parts) > 1 else parts[0] if parts else F.lit(0.0)
+        return Clause(best > 0, best)
     edits, prefix, most = (fuzzy.get("maxEdits", 2) if spec.get("fuzzy") is not None else 0), fuzzy.get("prefixLength", 0), fuzzy.get("maxExpansions", 50)
 
     def hit(token: Column, term: str) -> Column:
@@ -323,7 +376,11 @@ def clause(spec: Any, c: Compiler) -> Clause:
 
 
 def _id_text(df: DataFrame) -> Column:
-    return F.col("_id").cast("string") if "_id" in df.columns else F.monotonically_increasing_id().cast("string")
+    """What ties go by: the id's text, or, without an id, a hash of the document, so that ranks do not depend on partitions."""
+    if "_id" in df.columns:
+        return F.col("_id").cast("string")
+    shown = [F.col(quote(f.name)) for f in df.schema.fields if not hidden(f.name)]
+    return F.lpad(F.hex(F.xxhash64(F.to_json(F.struct(*shown)))), 16, "0")
 
 
 def search(df: DataFrame, spec: dict, definition: dict | None = None) -> DataFrame:
@@ -332,15 +389,18 @@ def search(df: DataFrame, spec: dict, definition: dict | None = None) -> DataFra
     c = Compiler(df, Index.of(definition), Scope.of(df.schema))
     body = {k: v for k, v in spec.items() if k not in options}
     found = clause(body, c)
+    shown = _highlights(c, options["highlight"], body) if "highlight" in options else None
     made = c.df.withColumn("__sd_m", found.matched).withColumn("__meta_searchScore", found.score).withColumn("__sd_d", found.distance if found.distance is not None else F.lit(None).cast("double"))
     made = made.where("__sd_m")
     order = [F.col("__sd_d")] if "near" in body else [-F.col("__meta_searchScore"), F.coalesce("__sd_d", F.lit(float("inf")))]
     made = made.withColumns({f"__sd_rank{i}": k for i, k in enumerate([*order, _id_text(made)])})
-    if "highlight" in options:
-        made = made.withColumn("__meta_searchHighlights", _highlights(c, options["highlight"], body))
+    if shown is not None:
+        made = made.withColumn("__meta_searchHighlights", shown)
     ranks = [n for n in made.columns if n.startswith("__sd_rank")]
-    gone = [n for names in c.columns.values() for n in names]
-    return made.drop("__sd_m", "__sd_d", *gone).orderBy(*ranks)
+    gone = [*(n for names in c.columns.values() for n in names), *c.whole.values()]
+    made = made.drop("__sd_m", "__sd_d", *gone)
+    # the sort's sample reads the exchange, not the search; a hash of the ranks spreads rows alike in every attempt
+    return made.repartition(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ranks).orderBy(*ranks)
 
 
 def _query_words(spec: Any) -> list[str]:
@@ -490,25 +550,24 @@ def classic_text(df: DataFrame, spec: Any, paths: tuple[str, ...], weights: dict
             terms += [] if negative else words
         else:
             (without if negative else terms).extend(words)
-    c = Compiler(df, Index(None), Scope.of(df.schema))
+    scope = Scope.of(df.schema)
     score: Column = F.lit(0.0)
-    lists = []
+    texts = []
     for k, path in enumerate(paths):
-        texts = texts_of(resolve(c.scope, path))
-        if texts is None:
+        e = resolve(scope, path)
+        own = texts_of(e)
+        if own is None:
             continue
-        joined = F.array_join(texts, "\u0001")
-        df = df.withColumn(f"__sd_j{k}", folded(joined, case, marks))
-        df = df.withColumn(f"__sd_z{k}", F.transform(F.split(f"__sd_j{k}", "\u0001"), tokens_of)).drop(f"__sd_j{k}")
-        every = F.flatten(F.col(f"__sd_z{k}"))
-        hits = reduce(lambda a, b: a + b, [occurrences(every, w) for w in terms], F.lit(0))
+        df = df.withColumn(f"__sd_w{k}", folded(e.col if is_string(e.type) else F.array_join(own, APART), case, marks))
+        texts.append(F.col(f"__sd_w{k}"))
+        hits = reduce(lambda a, b: a + b, [count_of(texts[-1], word_pattern(w)) for w in terms], F.lit(0))
         score = score + hits * F.lit(float((weights or {}).get(path, 1)))
-        lists.append(F.col(f"__sd_z{k}"))
+    anywhere = lambda pattern: reduce(lambda a, b: a | b, [F.coalesce(t.rlike(pattern), F.lit(False)) for t in texts], F.lit(False))
     test: Column = score > 0
     for word in without:
-        test = test & ~reduce(lambda a, b: a | b, [F.array_contains(F.flatten(x), word) for x in lists])
+        test = test & ~anywhere(word_pattern(word))
     for negative, words in phrases:
-        there = reduce(lambda a, b: a | b, [holds_phrase(x, words) for x in lists])
+        there = anywhere(phrase_pattern(words))
         test = test & (~there if negative else there)
     out = df.withColumn("__meta_textScore", score.cast("double")).where(F.coalesce(test, F.lit(False)))
-    return out.drop(*[f"__sd_z{k}" for k in range(len(paths))])
+    return out.drop(*[f"__sd_w{k}" for k in range(len(paths))])

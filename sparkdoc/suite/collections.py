@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 from ..operators import updates
 from ..operators.filters import compile_filter
 from ..functions.core import Scope
-from ..sources.collection import Collection
+from ..sources.collection import Collection, Database
 from . import collection_query as c
 from . import database
 
 
 def orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return database(spark, sf_dir)["lineitem"].aggregate([{"$match": {"l_orderkey": {"$lt": 2000}}}, {"$group": {"_id": "$l_orderkey", "nums": {"$push": "$l_linenumber"}}}, {"$project": {"nums": {"$sortArray": {"input": "$nums", "sortBy": 1}}}}])
+    return database(spark, sf_dir)["lineitem"].aggregate([{"$group": {"_id": "$l_orderkey", "nums": {"$push": "$l_linenumber"}}}, {"$project": {"nums": {"$sortArray": {"input": "$nums", "sortBy": 1}}}}])
 
 
-LINES = "WITH o AS (SELECT l_orderkey AS _id, list(l_linenumber ORDER BY l_linenumber) AS nums FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1)"
+LINES = "WITH o AS (SELECT l_orderkey AS _id, list(l_linenumber ORDER BY l_linenumber) AS nums FROM lineitem GROUP BY 1)"
 
 
 def update_arrays(spec: dict, query: dict, sql: str, filters: list | None = None) -> tuple:
@@ -83,7 +84,11 @@ def stream_match_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = from_parquet(spark, f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     made = transformed(events, [{"$match": {"value": {"$gt": 50}}}, {"$project": {"event_id": 1, "twice": {"$multiply": ["$value", 2]}}}], spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkdoc-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sparkdoc-")
     name = f"stream_{abs(hash(sf_dir)) % 10**8}"
     query = made.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -108,7 +113,76 @@ def text_score_order(docs: Collection) -> DataFrame:
     return docs.aggregate([{"$match": {"$text": {"$search": "the thing"}}}, {"$sort": {"score": {"$meta": "textScore"}, "doc_id": 1}}, {"$limit": 15}, {"$project": {"doc_id": 1, "score": {"$meta": "textScore"}}}])
 
 
+def weighted(docs: Collection) -> DataFrame:
+    docs.create_index({"text": "text", "source": "text"}, weights={"text": 3})
+    return docs.aggregate([{"$match": {"$text": {"$search": "thing src0"}}}, {"$project": {"doc_id": 1, "score": {"$meta": "textScore"}}}])
+
+
+def written(work: object) -> object:
+    """Events of writes to orders: operation, key and, but for deletes, the price after it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = database(spark, sf_dir).tables["orders"]
+        db, events = Database(spark), []
+        orders = db.register("orders", source.select(F.col("o_orderkey").alias("_id"), "o_orderstatus", "o_totalprice"))
+        db.listeners.append(lambda name, event, rows: events.append(rows.select(F.lit(event).alias("operation"), "_id", rows["o_totalprice"].alias("price") if "o_totalprice" in rows.columns else F.lit(None).cast("double").alias("price"))))
+        work(orders)
+        return reduce(DataFrame.unionByName, events)
+
+    return run
+
+
+def after(work: object) -> object:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = database(spark, sf_dir).tables["orders"]
+        orders = Database(spark).register("orders", source.select(F.col("o_orderkey").alias("_id"), "o_orderstatus", "o_totalprice"))
+        work(orders)
+        return orders.find()
+
+    return run
+
+
+def merge_stage(found: str, missing: str) -> object:
+    """Urgent orders merged into those that are not open."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = database(spark, sf_dir).tables["orders"]
+        db = Database(spark)
+        db.register("old", source.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("_id"), "o_totalprice", "o_orderstatus"))
+        new = db.register("new", source.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("_id"), F.lit(1.5).alias("o_totalprice")))
+        new.aggregate([{"$merge": {"into": "old", "whenMatched": found, "whenNotMatched": missing}}])
+        return db["old"].find()
+
+    return run
+
+
+def merge_sql(price: str, status: str, where: str = "true") -> str:
+    return f"WITH a AS (SELECT o_orderkey AS k, o_totalprice AS p, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'O'), b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') SELECT coalesce(a.k, b.k) AS _id, {price} AS o_totalprice, {status} AS o_orderstatus FROM a FULL JOIN b ON a.k = b.k WHERE {where}"
+
+
+ORDERS = "SELECT o_orderkey AS _id, o_orderstatus, o_totalprice FROM orders"
+
 QUERIES = {
+    "write_events": (
+        written(lambda o: (o.update_many({"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "Q"}, "$inc": {"o_totalprice": 1}}), o.update_many({"o_orderstatus": "Q"}, {"$set": {"o_orderstatus": "Q"}}), o.delete_many({"o_totalprice": {"$lt": 50000}}))),
+        "WITH u AS (SELECT o_orderkey AS _id, o_orderstatus AS s, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders) SELECT 'update' AS operation, _id, price FROM u WHERE s = 'P' UNION ALL SELECT 'delete', _id, NULL FROM u WHERE price < 50000",
+    ),
+    "write_upsert": (
+        after(lambda o: o.update_one({"_id": -5, "o_orderstatus": "N"}, {"$set": {"o_totalprice": 2.5}, "$setOnInsert": {"o_orderstatus": "I"}}, upsert=True)),
+        f"{ORDERS} UNION ALL SELECT -5, 'I', 2.5",
+    ),
+    "write_replace": (after(lambda o: o.replace_one({"o_orderstatus": "P"}, {"o_totalprice": 3.5}, sort=[("_id", 1)])), f"WITH f AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'P') SELECT o_orderkey AS _id, CASE WHEN o_orderkey <> k THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey = k THEN 3.5 ELSE o_totalprice END AS o_totalprice FROM orders, f"),
+    "write_delete": (after(lambda o: (o.delete_many({"o_totalprice": {"$gte": 100000}}), o.delete_one({"_id": {"$gte": 0}}))[0]), f"WITH r AS ({ORDERS} WHERE o_totalprice < 100000) SELECT * FROM r WHERE _id <> (SELECT min(_id) FROM r)"),
+    "write_pipeline": (after(lambda o: o.update_many({"o_orderstatus": "F"}, [{"$set": {"o_totalprice": {"$multiply": ["$o_totalprice", 2]}}}, {"$unset": "o_orderstatus"}])), "SELECT o_orderkey AS _id, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders"),
+    "merge_stage_merge": (merge_stage("merge", "insert"), merge_sql("CASE WHEN b.k IS NOT NULL THEN 1.5 ELSE a.p END", "a.s")),
+    "merge_stage_replace": (merge_stage("replace", "discard"), merge_sql("CASE WHEN b.k IS NOT NULL THEN 1.5 ELSE a.p END", "CASE WHEN b.k IS NULL THEN a.s END", "a.k IS NOT NULL")),
+    "merge_stage_keep": (merge_stage("keepExisting", "insert"), merge_sql("coalesce(a.p, 1.5)", "a.s")),
+    "text_weights": (c("documents", weighted), f"{TOKENS} SELECT doc_id, CAST(3 * {count_of('thing')} + 3 * {count_of('src0')} + CAST(source = 'src0' AS INTEGER) AS DOUBLE) AS score FROM d WHERE {count_of('thing')} + {count_of('src0')} > 0 OR source = 'src0'"),
+    "search_phrase_slop": (
+        text_query({"phrase": {"query": "in the", "path": "text", "slop": 1}}),
+        f"{TOKENS} SELECT doc_id, round(n, 6) AS score FROM (SELECT doc_id, list_sum(list_transform(range(1, len(t)), lambda i: CASE WHEN t[i] <> 'in' THEN 0.0 WHEN t[i + 1] = 'the' THEN 1.0 WHEN i + 2 <= len(t) AND t[i + 2] = 'the' THEN 0.5 ELSE 0.0 END)) AS n FROM d) WHERE n > 0",
+    ),
+    "search_meta_threshold": (c("documents", lambda x: x.aggregate([{"$searchMeta": {"exists": {"path": "text"}, "count": {"type": "lowerBound", "threshold": 150}}}, {"$project": {"n": "$count.lowerBound", "capped": "$count.cappedByThreshold"}}])), "SELECT least(count(*), 150) AS n, count(*) > 150 AS capped FROM documents WHERE text IS NOT NULL"),
     "dynamic_match": (dynamic_match, "SELECT event_id AS _id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50"),
     "sort_text_score": (c("documents", text_score_order), f"{TOKENS} SELECT doc_id, CAST({count_of('thing')} + {count_of('the')} AS DOUBLE) AS score FROM d WHERE {count_of('thing')} + {count_of('the')} > 0 ORDER BY score DESC, doc_id LIMIT 15"),
     "find": (c("orders", lambda o: o.find({"o_orderstatus": "P"}, {"o_orderkey": 1, "o_totalprice": 1}, [("o_totalprice", -1), ("o_orderkey", 1)], skip=5, limit=30)), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 5"),

@@ -9,11 +9,11 @@ from .filters import ARRAYS
 
 D = datetime.datetime
 
-HOURS = [{"$match": {"event_id": {"$lt": 400}}}, {"$group": {"_id": {"$dateTrunc": {"date": "$ts", "unit": "hour"}}, "v": {"$max": "$event_id"}}}]
-HOURS_SQL = "h AS (SELECT date_trunc('hour', ts) AS _id, max(event_id) AS v FROM events WHERE event_id < 400 GROUP BY 1)"
+HOURS = [{"$group": {"_id": {"$dateTrunc": {"date": "$ts", "unit": "hour"}}, "v": {"$max": "$event_id"}}}]
+HOURS_SQL = "h AS (SELECT date_trunc('hour', ts) AS _id, max(event_id) AS v FROM events GROUP BY 1)"
 #: Every third value of v is null.
-HOLES = [{"$match": {"event_id": {"$lt": 300}}}, {"$project": {"id": "$event_id", "g": {"$mod": ["$event_id", 4]}, "v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 3]}, 0]}, "$event_id", None]}}}]
-HOLES_SQL = "WITH e AS (SELECT event_id AS id, event_id % 4 AS g, CASE WHEN event_id % 3 = 0 THEN event_id END AS v FROM events WHERE event_id < 300)"
+HOLES = [{"$project": {"id": "$event_id", "g": {"$mod": ["$event_id", 4]}, "v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 3]}, 0]}, "$event_id", None]}}}]
+HOLES_SQL = "WITH e AS (SELECT event_id AS id, event_id % 4 AS g, CASE WHEN event_id % 3 = 0 THEN event_id END AS v FROM events)"
 
 QUERIES = {
     "project_fields": (q("nation", [{"$project": {"n_name": 1, "n_regionkey": 1}}]), "SELECT n_name, n_regionkey FROM nation"),
@@ -29,7 +29,7 @@ QUERIES = {
     "replace_with": (q("region", [{"$replaceWith": {"k": "$r_regionkey"}}]), "SELECT r_regionkey AS k FROM region"),
     "redact": (q("customer", [{"$redact": {"$cond": [{"$gt": ["$c_acctbal", 9000]}, "$$KEEP", "$$PRUNE"]}}, {"$project": {"c_custkey": 1}}]), "SELECT c_custkey FROM customer WHERE c_acctbal > 9000"),
     "redact_descend": (q("nation", [{"$project": {"n_nationkey": 1, "level": {"$literal": 1}, "o": {"level": "$n_regionkey", "name": "$n_name"}}}, {"$redact": {"$cond": [{"$lte": ["$level", 2]}, "$$DESCEND", "$$PRUNE"]}}, {"$project": {"n_nationkey": 1, "name": "$o.name"}}]), "SELECT n_nationkey, CASE WHEN n_regionkey <= 2 THEN n_name END AS name FROM nation"),
-    "unwind": (q("lineitem", [*ARRAYS, {"$unwind": "$nums"}, {"$project": {"_id": 1, "nums": 1}}]), "SELECT l_orderkey AS _id, l_linenumber AS nums FROM lineitem WHERE l_orderkey <= 4000"),
+    "unwind": (q("lineitem", [*ARRAYS, {"$unwind": "$nums"}, {"$project": {"_id": 1, "nums": 1}}]), "SELECT l_orderkey AS _id, l_linenumber AS nums FROM lineitem"),
     "unwind_index": (q("nation", [{"$project": {"k": "$n_nationkey", "a": {"$range": [0, "$n_regionkey"]}}}, {"$unwind": {"path": "$a", "includeArrayIndex": "i"}}]), "SELECT n_nationkey AS k, unnest(range(n_regionkey)) AS a, unnest(range(n_regionkey)) AS i FROM nation"),
     "unwind_preserve": (q("nation", [{"$project": {"k": "$n_nationkey", "a": {"$range": [0, "$n_regionkey"]}}}, {"$unwind": {"path": "$a", "preserveNullAndEmptyArrays": True}}]), "SELECT n_nationkey AS k, a FROM nation LEFT JOIN (SELECT n_nationkey AS j, unnest(range(n_regionkey)) AS a FROM nation) ON j = n_nationkey"),
     "unwind_scalar": (q("region", [{"$unwind": {"path": "$r_name", "includeArrayIndex": "i"}}]), "SELECT r_regionkey, r_name, CAST(NULL AS BIGINT) AS i FROM region"),

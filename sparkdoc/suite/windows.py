@@ -5,13 +5,12 @@ from __future__ import annotations
 from . import pipeline_query as q
 
 W = "OVER (PARTITION BY user_id ORDER BY event_id"
-BEFORE = [{"$match": {"event_id": {"$lt": 3000}}}]
 
 
-def w(output: dict, sql: str, project: dict | None = None, sort: dict | None = None, where: str = "event_id < 3000") -> tuple:
+def w(output: dict, sql: str, project: dict | None = None, sort: dict | None = None) -> tuple:
     sort = {"event_id": 1} if sort is None else sort
-    pipeline = [*BEFORE, {"$setWindowFields": {"partitionBy": "$user_id", "sortBy": sort, "output": output}}, {"$project": {"event_id": 1} | (project or dict.fromkeys(output, 1))}]
-    return q("events", pipeline), f"SELECT event_id, {sql} FROM events WHERE {where}"
+    pipeline = [{"$setWindowFields": {"partitionBy": "$user_id", "sortBy": sort, "output": output}}, {"$project": {"event_id": 1} | (project or dict.fromkeys(output, 1))}]
+    return q("events", pipeline), f"SELECT event_id, {sql} FROM events"
 
 
 def r(name: str, places: int = 6) -> dict:
@@ -38,8 +37,14 @@ QUERIES = {
     "window_median": w({"x": {"$median": {"input": "$value", "method": "approximate"}}, "y": {"$percentile": {"input": "$value", "p": [0.25], "method": "approximate"}}}, "quantile_disc(value, 0.5) OVER (PARTITION BY user_id) AS x, [quantile_disc(value, 0.25) OVER (PARTITION BY user_id)] AS y"),
     "window_derivative": w({"x": {"$derivative": {"input": "$value"}, "window": {"documents": [-1, 0]}}}, f"(value - lag(value) {W})) / (event_id - lag(event_id) {W})) AS x"),
     "window_integral": w({"x": {"$integral": {"input": "$value"}, "window": {"documents": [-1, "current"]}}}, f"round((event_id - lag(event_id) {W})) * (value + lag(value) {W})) / 2, 6) AS x", r("x")),
-    "window_locf": (q("events", [*BEFORE, {"$addFields": {"v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 3]}, 0]}, "$event_id", None]}}}, {"$setWindowFields": {"partitionBy": "$event_type", "sortBy": {"event_id": 1}, "output": {"x": {"$locf": "$v"}}}}, {"$project": {"event_id": 1, "x": 1}}]), "SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS x FROM events WHERE event_id < 3000"),
-    "window_linear_fill": (q("events", [{"$match": {"event_id": {"$lt": 200}}}, {"$addFields": {"v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 5]}, 0]}, "$event_id", None]}}}, {"$setWindowFields": {"sortBy": {"event_id": 1}, "output": {"x": {"$linearFill": "$v"}}}}, {"$match": {"event_id": {"$gte": 5, "$lte": 190}}}, {"$project": {"event_id": 1, "x": {"$round": ["$x", 6]}}}]), "SELECT event_id, CAST(event_id AS DOUBLE) AS x FROM events WHERE event_id BETWEEN 5 AND 190"),
-    "window_exp_moving_avg": (q("events", [{"$match": {"event_id": {"$lt": 150}}}, {"$setWindowFields": {"sortBy": {"event_id": 1}, "output": {"x": {"$expMovingAvg": {"input": "$value", "N": 5}}}}}, {"$project": {"event_id": 1, "x": {"$round": ["$x", 6]}}}]), "WITH RECURSIVE e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id < 150), m AS (SELECT event_id, n, value AS x FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.n, e.value / 3 + m.x * (1 - 1.0 / 3) FROM m JOIN e ON e.n = m.n + 1) SELECT event_id, round(x, 6) AS x FROM m"),
+    "window_locf": (q("events", [{"$addFields": {"v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 3]}, 0]}, "$event_id", None]}}}, {"$setWindowFields": {"partitionBy": "$event_type", "sortBy": {"event_id": 1}, "output": {"x": {"$locf": "$v"}}}}, {"$project": {"event_id": 1, "x": 1}}]), "SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS x FROM events"),
+    "window_linear_fill": (
+        q("events", [{"$addFields": {"v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 5]}, 0]}, "$event_id", None]}}}, {"$setWindowFields": {"sortBy": {"event_id": 1}, "output": {"x": {"$linearFill": "$v"}}}}, {"$project": {"event_id": 1, "x": {"$round": ["$x", 6]}}}]),
+        "WITH e AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events WHERE event_id % 5 = 0) SELECT event_id, CASE WHEN event_id BETWEEN lo AND hi THEN CAST(event_id AS DOUBLE) END AS x FROM events, e",
+    ),
+    "window_exp_moving_avg": (
+        q("events", [{"$setWindowFields": {"partitionBy": "$user_id", "sortBy": {"event_id": 1}, "output": {"x": {"$expMovingAvg": {"input": "$value", "N": 5}}}}}, {"$project": {"event_id": 1, "x": {"$round": ["$x", 6]}}}]),
+        "WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), m AS (SELECT event_id, user_id, n, value AS x FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, e.value / 3 + m.x * (1 - 1.0 / 3) FROM m JOIN e ON e.user_id = m.user_id AND e.n = m.n + 1) SELECT event_id, round(x, 6) AS x FROM m",
+    ),
     "window_nested_output": w({"s.a": {"$documentNumber": {}}}, f"row_number() {W}) AS a", {"a": "$s.a"}),
 }
