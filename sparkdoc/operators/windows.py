@@ -51,7 +51,13 @@ class Frames:
         return self.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def from_current(self) -> WindowSpec:
-        return self.ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        """This row and all behind it, seen from the end: frames that grow cost one step a row, frames that shrink all their
+        rows. The next known value is the last one there."""
+        return self.backwards().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def backwards(self) -> WindowSpec:
+        turned = [Key(k.name, k.type, not k.ascending) for k in self.all_keys]
+        return self.plain.orderBy(*[c for k in turned for c in order_by(k)]) if turned else self.plain
 
     def of(self, spec: dict | None) -> WindowSpec:
         """The frame of an output field; by default the whole partition."""
@@ -67,7 +73,10 @@ class Frames:
         if not self.keys:
             raise QueryError("window bounds need sortBy")
         if kind == "documents":
-            return self.ordered.rowsBetween(_bound(bounds[0], True), _bound(bounds[1], False))
+            low, high = _bound(bounds[0], True), _bound(bounds[1], False)
+            if high == Window.unboundedFollowing and low != Window.unboundedPreceding and self.all_keys:
+                return self.backwards().rowsBetween(Window.unboundedPreceding, -low)
+            return self.ordered.rowsBetween(low, high)
         if len(self.keys) != 1 or not is_number(self.keys[0].type):
             raise QueryError("range bounds need one numeric sort key")
         # bounds are offsets of the value, whatever the direction of the sort
@@ -174,10 +183,10 @@ def _linear_fill(arg: Any, scope: Scope, prefix: str, extra: dict, frames: Frame
 def interpolate(x: E, frames: Frames) -> E:
     """Between known values by position; edges stay null. `__sd_rn` is the row's number in its partition."""
     before = F.last(x.col, ignorenulls=True).over(frames.upto_current())
-    after = F.first(x.col, ignorenulls=True).over(frames.from_current())
+    after = F.last(x.col, ignorenulls=True).over(frames.from_current())
     known = F.when(x.col.isNotNull(), F.col("__sd_rn"))
     since = F.col("__sd_rn") - F.last(known, ignorenulls=True).over(frames.upto_current())
-    until = F.first(known, ignorenulls=True).over(frames.from_current()) - F.col("__sd_rn")
+    until = F.last(known, ignorenulls=True).over(frames.from_current()) - F.col("__sd_rn")
     share = since / (since + until)
     if is_date(x.type):
         ms = F.unix_micros(before.cast("timestamp")) + (F.unix_micros(after.cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) * share
