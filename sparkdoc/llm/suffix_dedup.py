@@ -15,7 +15,7 @@ cluster, texts are first cut where their content says so:
 * Anchor values that occur very often (a passage that a third of all documents share) would fill one block. Their
   strings are dealt out singly, so they spread, and a sender names each distinct string once, with its first occurrence
   there. Blocks of them are sorted the same way and give the first occurrence of each string; that table is joined back
-  to the strings, occurrence by occurrence, so no task ever holds all occurrences of one.
+  to the senders' strings, whose overlapping spans become one again, so no task ever holds all occurrences of a string.
 * Exact copies of a whole document are dropped before all that, by the same sieve: all their bytes go.
 
 A document is a row's id together with its text; `tie`, a 64-bit hash of the text, tells texts of one id apart and orders
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -540,9 +541,12 @@ def _hot_spans(rows: DataFrame, picked, buckets: int, length: int) -> DataFrame:
     many = spark.sparkContext.broadcast(Bits(how_many, probes=3).fill(found.select("h")) if Bits.fits(how_many) else None)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct strings of a batch for a bucket, with their first occurrences; and, without a bucket, each distinct string
-        with all its occurrences in the batch."""
+        """Distinct strings of a chunk of texts for a bucket, with their first occurrences; and, without a bucket, each distinct
+        string with all its occurrences in the chunk."""
+        task = TaskContext.get()
+        chunk = (task.partitionId() if task else 0) << 24
         for ids, ties, raw, offsets, hashed, start in strings(batches):
+            chunk += 1
             if many.value is not None:
                 keep = many.value.holds(hashed.view(np.int64))
                 hashed, start = hashed[keep], start[keep]
@@ -559,10 +563,10 @@ def _hot_spans(rows: DataFrame, picked, buckets: int, length: int) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             made = [(int(bucket[g[0]]), known[g].tobytes(), b"".join(bytes(view[s : s + length]) for s in start[one[g]].tolist()), times[g].astype(np.int64).tobytes(), doc[one[g]].tobytes(), tie[one[g]].tobytes(), place[one[g]].astype(np.int32).tobytes()) for g in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)]
             none, number = pa.nulls(len(made), pa.binary()), pa.nulls(len(made), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), *(pa.array([r[k] for r in made], pa.binary()) for k in range(1, 7)), number, number, none, none, none], names=_DEALT)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int32()), *(pa.array([r[k] for r in made], pa.binary()) for k in range(1, 7)), number, number, number, none, none, none], names=_DEALT)
             hi, lo = np.ascontiguousarray(known).view(np.int64).reshape(-1, 2).T
             bounds = np.concatenate(([0], np.cumsum(times)))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(known), pa.int32()), *[pa.nulls(len(known), pa.binary())] * 6, pa.array(np.ascontiguousarray(hi)), pa.array(np.ascontiguousarray(lo)), *(packed(c[order].astype(np.int64), bounds) for c in (doc, tie, place))], names=_DEALT)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(known), pa.int32()), *[pa.nulls(len(known), pa.binary())] * 6, pa.array(np.full(len(known), chunk)), pa.array(np.ascontiguousarray(hi)), pa.array(np.ascontiguousarray(lo)), *(packed(c[order].astype(np.int64), bounds) for c in (doc, tie, place))], names=_DEALT)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = Strings(length), None
@@ -583,21 +587,28 @@ def _hot_spans(rows: DataFrame, picked, buckets: int, length: int) -> DataFrame:
             yield from flush()
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spans of all occurrences but the first."""
+        """Spans of all occurrences but the first. Strings of a chunk come together, so those that overlap are one span."""
         for batch in batches:
             (doc, offsets), (tie, _), (at, _) = (flat(batch.column(c)) for c in range(3))
             doc, tie, at = (np.frombuffer(c.tobytes(), np.int64) for c in (doc, tie, at))
             first = [np.repeat(long_of(batch.column(c)), np.diff(offsets) // 8) for c in (3, 4, 5)]
-            gone = (doc != first[0]) | (tie != first[1]) | (at != first[2])
-            if gone.any():
-                yield _spans((doc[gone], tie[gone], at[gone], at[gone] + length))
-
-    dealt = cut(arrow_map(rows, deal, "bucket int, " + ", ".join(f"{c} binary" for c in _DEALT[1:7]) + ", hi long, lo long, docs binary, doc_ties binary, places binary"))
+            gone = np.flatnonzero((doc != first[0]) | (tie != first[1]) | (at != first[2]))
+            if not len(gone):
+                continue
+            gone = gone[np.lexsort((at[gone], tie[gone], doc[gone]))]
+            doc, tie, at = doc[gone], tie[gone], at[gone]
+            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (at[1:] > at[:-1] + length)))
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(at)) - 1
+            yield _spans((doc[begin], tie[begin], at[begin], at[end] + length))
+
+    dealt = cut(arrow_map(rows, deal, "bucket int, " + ", ".join(f"{c} binary" for c in _DEALT[1:7]) + ", chunk long, hi long, lo long, docs binary, doc_ties binary, places binary"))
     distinct = dealt.where("bucket is not null").select(*_DEALT[:7])
     # a table of its own: a join of two plain exchanges, of which Spark can split a string of any number of occurrences
     firsts = cut(arrow_map(distinct.repartition(buckets, "bucket").sortWithinPartitions("bucket"), sort, "hi long, lo long, first_doc long, first_tie long, first_place long"))
-    met = dealt.where("bucket is null").select("hi", "lo", "docs", "doc_ties", "places").join(firsts, ["hi", "lo"])
-    return arrow_map(met.select("docs", "doc_ties", "places", "first_doc", "first_tie", "first_place"), later, _SPANS)
+    met = dealt.where("bucket is null").select("chunk", "hi", "lo", "docs", "doc_ties", "places").join(firsts, ["hi", "lo"])
+    by_chunk = met.select("chunk", "docs", "doc_ties", "places", "first_doc", "first_tie", "first_place").repartition(buckets, "chunk").sortWithinPartitions("chunk")
+    return arrow_map(by_chunk.drop("chunk"), later, _SPANS)
 
 
 def _with_own_anchors(rows: DataFrame, wanted, found: DataFrame, length: int, gram: int) -> DataFrame:
@@ -635,7 +646,7 @@ def _spans(made: tuple) -> pa.RecordBatch:
 
 
 _FIELDS = ("names", "hashed", "size", "body", "which", "doc", "ties", "place")
-_DEALT = ["bucket", "names", "body", "times", "doc", "ties", "place", "hi", "lo", "docs", "doc_ties", "places"]
+_DEALT = ["bucket", "names", "body", "times", "doc", "ties", "place", "chunk", "hi", "lo", "docs", "doc_ties", "places"]
 _SPANS = "doc_id long, tie long, lo long, hi long"
 
 
