@@ -43,6 +43,10 @@ QUERIES = {
         "WITH e AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events WHERE event_id % 5 = 0) SELECT event_id, CASE WHEN event_id BETWEEN lo AND hi THEN CAST(event_id AS DOUBLE) END AS x FROM events, e",
     ),
     "window_exp_moving_avg": (
+        q("events", [{"$setWindowFields": {"sortBy": {"event_id": 1}, "output": {"x": {"$expMovingAvg": {"input": "$value", "N": 5}}}}}, {"$project": {"event_id": 1, "x": {"$round": ["$x", 6]}}}]),
+        "WITH RECURSIVE e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS n FROM events), m AS (SELECT event_id, n, value AS x FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.n, e.value / 3 + m.x * (1 - 1.0 / 3) FROM m JOIN e ON e.n = m.n + 1) SELECT event_id, round(x, 6) AS x FROM m",
+    ),
+    "window_exp_moving_avg_by_user": (
         q("events", [{"$setWindowFields": {"partitionBy": "$user_id", "sortBy": {"event_id": 1}, "output": {"x": {"$expMovingAvg": {"input": "$value", "N": 5}}}}}, {"$project": {"event_id": 1, "x": {"$round": ["$x", 6]}}}]),
         "WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), m AS (SELECT event_id, user_id, n, value AS x FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, e.value / 3 + m.x * (1 - 1.0 / 3) FROM m JOIN e ON e.user_id = m.user_id AND e.n = m.n + 1) SELECT event_id, round(x, 6) AS x FROM m",
     ),
